@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from karstflow.llm import quality_rules, sharding
+from karstflow.llm import decontaminate, line_dedup, near_dup, quality_rules, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _sha256(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(_documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    done = line_dedup.dedup_lines(docs, min_chars=20, min_docs=3, keep="last")
+    return done.select("doc_id", "n_lines", "n_dropped", _sha256(F.col("text")).alias("kept_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    done = decontaminate.contamination(_documents(spark, sf_dir), items, window=10)
+    return done.select("doc_id", "n_words", "n_hit", "n_items", _sha256(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_documents(spark, sf_dir), shingle=3, num=85, den=100)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op8_decontamination, op9_near_duplicates, op10_sharding)}
 ORACLES: dict[str, str] = {}
