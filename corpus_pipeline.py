@@ -3,17 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from karstflow.llm import quality_rules
+from karstflow.llm import decontaminate, line_dedup, near_dup, packing, quality_rules
 from karstflow.llm.common import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
-#: Hashes, checksums and byte-pair encoding have no SQL form; tests/llm holds the stages against brute force.
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of 20 characters or more that three documents or more hold stay in the last one only."""
+    done = line_dedup.dedup_lines(docs, min_chars=20, min_docs=3, keep="last").drop("n_lines", "n_dropped")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    return near_dup.keep_one(docs, shingle=5, num=80, den=100)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter one, go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rest in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_stage),
+    ("decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+#: Byte-pair encoding has no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
