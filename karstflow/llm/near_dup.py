@@ -3,14 +3,14 @@
 1. One scan gives each document its set of word shingles (64-bit hashes), a digest of the set, and the minima of many
    universal hashes a*x+b (the signature). Equal sets make one class with one representative; only those go on.
 2. Bands of ROWS minima are bucket keys. As many bands are used as make a pair at the threshold miss all of them with a
-   chance under MISS. In each bucket every member is paired with the smallest one: pairs grow with rows, not with
-   their square.
-3. Pairs whose signatures agree too little (again with a chance under MISS for a pair at the threshold) go; the rest is
-   compared on full sets. What passes is a link, and components() joins links.
-4. Buckets whose members are still in several components are searched on: first each member outside the leader's
-   component is paired with its closest member of another component, then with all that its signature allows. Members of
-   one component are never paired again, so that a big group of copies costs little, and nothing between components is
-   left out. Buckets are cut into blocks of BLOCK members, so that no task holds a whole one.
+   chance under MISS. Each member of a bucket is noted with the bucket's smallest id, its leader: notes grow with rows, not
+   with their square, and all members of a bucket share its leader.
+3. A leader's group is cut into chunks of about BLOCK members. In a chunk, pairs whose signatures agree enough (again, a
+   pair at the threshold fails with a chance under MISS) are compared on full sets, but only while they are in different
+   components; what passes is a link. components() joins the links of all chunks.
+4. Groups of several chunks that still hold several components are searched on: each member outside the leader's
+   component meets, block by block, all members of other components. So nothing is left out, no task holds more than two
+   blocks, and a chunk gives fewer links than it has members.
 """
 
 from __future__ import annotations
@@ -98,12 +98,16 @@ def _signed(size: int, hashes: int):
     return run
 
 
-def _full(size: int):
+def _full(size: int, hashes: int):
+    a, b = _universal(hashes)
+
     def run(batches):
         for batch in batches:
-            found = [x.tobytes() for x in _sets(batch.column(1), size)]
+            found = list(_sets(batch.column(1), size))
             for k in range(0, len(found), 500):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 500], pa.array(found[k : k + 500], pa.binary())], names=["id", "set"])
+                part = found[k : k + 500]
+                signs = pa.array([_signature(x, a, b).tobytes() if len(x) else None for x in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 500], signs, pa.array([x.tobytes() for x in part], pa.binary())], names=["id", "sig", "set"])
 
     return run
 
@@ -126,63 +130,51 @@ def _banded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids], names=["band", "id"])
 
 
-def _agreeing(least: int):
-    def run(batches):
-        for batch in batches:
-            a, b, x, y = batch.columns
-            good = pa.array((_matrix(x) == _matrix(y)).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
-
-    return run
-
-
-def _linked(num: int, den: int):
-    def run(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common_ = int((both[1:] == both[:-1]).sum())
-                good.append(den * common_ >= num * (len(both) - common_))
-            good = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
-
-    return run
-
-
-def _searched(least: int, closest: bool):
-    """In one block pair of a bucket: the pairs of a member outside the leader's component (minor) and a member of any
-    other component whose signatures agree enough; with `closest` the best one for each minor member only."""
+def _searched(least: int, num: int, den: int):
+    """Links between the left and the right rows of a block that join components which the block doesn't know as one."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comps = np.array(table["id"]), np.array(table["comp"])
+        ids, comps = np.array(table["id"]), table["comp"].to_pylist()
         left, right = np.array(table["left"]), np.array(table["right"])
+        both_sides, right = left & right, np.flatnonzero(right)
         sig = _matrix(table["sig"].combine_chunks())
-        own, other = np.flatnonzero(left), np.flatnonzero(right)
-        a, b, n = [], [], []
-        for k in own:
-            same = (sig[other] == sig[k]).sum(axis=1)
-            same[comps[other] == comps[k]] = -1
-            if closest:
-                top = int(same.argmax()) if len(same) else -1
-                hits = np.array([top] if top >= 0 and same[top] >= least else [], np.int64)
-            else:
-                hits = np.flatnonzero(same >= least)
-            a.append(np.full(len(hits), ids[k]))
-            b.append(ids[other[hits]])
-            n.append(same[hits])
-        whole = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64())
-        return pa.table({"a": whole(a), "b": whole(b), "n": whole(n)})
+        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        lengths = np.array([len(x) for x in sets])
+        words, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        mark = np.zeros(len(words), bool)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        a, b = [], []
+        for k in np.flatnonzero(left).tolist():
+            # a pair of rows that are both left and right is looked at once
+            others = right[(right > k) | ~left[right]] if both_sides[k] else right
+            others = others[(sig[others] == sig[k]).sum(axis=1) >= least]
+            own = root(comps[k])
+            others = [x for x in others.tolist() if root(comps[x]) != own]
+            if not others:
+                continue
+            mark[codes[ends[k] : ends[k + 1]]] = True
+            for x in others:
+                there = root(comps[x])
+                if there == root(own):
+                    continue
+                both = int(np.count_nonzero(mark[codes[ends[x] : ends[x + 1]]]))
+                if den * both >= num * (int(lengths[k]) + int(lengths[x]) - both):
+                    a.append(ids[k])
+                    b.append(ids[x])
+                    parent[there] = root(own)
+            mark[codes[ends[k] : ends[k + 1]]] = False
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
@@ -200,33 +192,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     signed = stored(rows.mapInArrow(_signed(shingle, hashes), "id long, n long, class binary, sig binary"), "signed")
     reps = signed.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "sig")).alias("x")).select("class", "x.id", "x.sig")
     reps = stored(reps, "reps")
-    sigs = reps.select("id", "sig")
-
-    banded = sigs.mapInArrow(_banded, "band long, id long")
-    crowded = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("size")).where("a < z")
-    members = stored(banded.join(crowded, "band").select("band", "id", "a", "size"), "members")
-    tried = stored(members.where("id > a").select("a", F.col("id").alias("b")).distinct(), "star")
-    wanted = tried.select(F.col("a").alias("id")).union(tried.select(F.col("b").alias("id"))).distinct()
-    sets = stored(rows.join(wanted, "id", "left_semi").mapInArrow(_full(shingle), "id long, set binary"), "sets")
-
-    def verified(pairs: DataFrame, name: str, signatures: bool) -> DataFrame:
-        if signatures:
-            x, y = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
-            pairs = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_agreeing(least), "a long, b long")
-        x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        return stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a long, b long"), name)
-
-    links = verified(tried, "links", True)
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    for closest in (True, False):
-        found = _unsettled(members.where("size > 2"), joined, sigs, least, closest)
-        if found is None:
-            break
-        if closest:
-            found = found.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", "x.b")
-        found = stored(_ordered(found).join(tried, ["a", "b"], "left_anti"), "found")
-        tried = tried.union(found)
-        links = links.union(verified(found, "links", False))
+
+    banded = reps.select("id", "sig").mapInArrow(_banded, "band long, id long")
+    crowded = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
+    noted = stored(banded.join(crowded, "band").where("id > a").select("a", "id").distinct(), "noted")
+    heads = noted.groupBy("a").agg((F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("chunks"))
+    wanted = noted.select("id").union(noted.select("a")).distinct()
+    sets = stored(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_full(shingle, hashes), "id long, sig binary, set binary"), "sets").where("sig is not null")
+
+    members = noted.join(heads, "a").select("a", "id", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"))
+    leaders = heads.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    sides = [F.lit(True).alias("left"), F.lit(True).alias("right")]
+    placed = members.union(leaders).join(sets, "id").select("a", "chunk", "id", F.col("id").alias("comp"), "sig", "set", *sides)
+    search = _searched(least, num, den)
+    links = stored(placed.groupBy("a", "chunk").applyInArrow(search, "a long, b long"), "links")
+    joined = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
+
+    large = heads.where("chunks > 1").select("a")
+    split = _unsettled(noted.join(large, "a"), joined, sets, search)
+    if split is not None:
+        links = links.union(stored(split, "more"))
         joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     labels = reps.select("class", F.col("id").alias("rep")).join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -236,29 +221,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     return whole.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _unsettled(members: DataFrame, joined: DataFrame, sigs: DataFrame, least: int, closest: bool) -> DataFrame | None:
-    """Pairs (a, b, n) across components from the buckets that hold several; None if no bucket does."""
-    named = members.join(joined, "id", "left").select("band", "id", "a", F.coalesce("component", "id").alias("comp"))
-    heads = named.where("id = a").select("band", F.col("comp").alias("lead"))
-    split = named.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").join(heads.distinct(), "band")
-    rows = named.join(split.select("band", "lead", "size"), "band").withColumn("minor", F.col("comp") != F.col("lead"))
-    rows = stored(rows.select("band", "id", "comp", "minor"), "unsettled")
+def _unsettled(noted: DataFrame, joined: DataFrame, sets: DataFrame, search) -> DataFrame | None:
+    """Links (a, b) between the components that are left in each leader's group; None if no group holds several.
+
+    Members outside the leader's component (minor) look, from their own block i, at every block j: the minor ones (0 to
+    m-1), then those of the leader's component (m to m+l-1).
+    """
+    named = noted.join(joined, "id", "left").select("a", "id", F.coalesce("component", "id").alias("comp"))
+    lead = noted.select("a").distinct().join(joined, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("lead"))
+    rows = named.union(lead.select("a", F.col("a").alias("id"), F.col("lead").alias("comp"))).join(lead, "a").withColumn("minor", F.col("comp") != F.col("lead"))
+    sizes = rows.groupBy("a").agg(F.count_if("minor").alias("m"), F.count_if(~F.col("minor")).alias("l")).where("m > 0")
+    rows = stored(rows.join(sizes, "a").select("a", "id", "comp", "minor", "m", "l"), "unsettled")
     if not rows.head(1):
         return None
-    sizes = rows.groupBy("band").agg(F.sum(F.col("minor").cast("long")).alias("m"), F.sum((~F.col("minor")).cast("long")).alias("l"))
     cut = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("minor"), cut("m")).otherwise(cut("l"))).cast("int")
-    placed = rows.join(sizes, "band").withColumn("own", own).withColumn("of_m", cut("m")).withColumn("of_l", cut("l")).join(sigs, "id")
+    placed = rows.select("a", "id", "comp", "minor", own.alias("own"), cut("m").alias("m"), cut("l").alias("l"))
     at = lambda i, j, left, right: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(left).alias("left"), F.lit(right).alias("right"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    me, m, l = F.col("own"), F.col("of_m"), F.col("of_l")
-    # a minor member looks from its own block i at each block j: the minor ones (0 to m-1), then the leader's (m to m+l-1)
-    looks = F.transform(upto(m + l), lambda j: at(me, j, True, False))
-    seen_m = F.transform(upto(m), lambda i: at(i, me, False, True))
-    seen_l = F.transform(upto(m), lambda i: at(i, m + me, False, True))
-    spread = placed.select("band", "id", "comp", "sig", F.explode(F.when(F.col("minor"), F.concat(looks, seen_m)).otherwise(seen_l)).alias("s"))
-    spread = spread.select("band", "id", "comp", "sig", "s.*")
-    return spread.groupBy("band", "i", "j").applyInArrow(_searched(least, closest), "a long, b long, n long")
+    me, m = F.col("own"), F.col("m")
+    looks = F.transform(F.sequence(F.lit(0), m + F.col("l") - 1), lambda j: at(me, j, True, False))
+    every = F.sequence(F.lit(0), m - 1)
+    seen = F.when(F.col("minor"), F.concat(looks, F.transform(every, lambda i: at(i, me, False, True)))).otherwise(F.transform(every, lambda i: at(i, m + me, False, True)))
+    spread = placed.select("a", "id", "comp", F.explode(seen).alias("s")).select("a", "id", "comp", "s.*")
+    return spread.join(sets, "id").groupBy("a", "i", "j").applyInArrow(search, "a long, b long")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
