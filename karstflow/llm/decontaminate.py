@@ -160,7 +160,7 @@ def _query(shared, size: int, reach: int | None):
             for row in batch.to_pylist():
                 segment = _Segment(row["starts"], row["terms"], row["lists"], row["positions"])
                 found = list(_phrases(segment, words, start, length, size) if reach is None else _near(segment, words, start, length, size, reach))
-                if not found:
+                if not any(len(x[0]) for x in found):
                     continue
                 window, begin, doc = (np.concatenate(x) for x in zip(*found, strict=True))
                 order = np.argsort(doc, kind="stable")
@@ -176,10 +176,9 @@ def _query(shared, size: int, reach: int | None):
                     out["ord"].append(d)
                     out["hits"].append(np.flatnonzero(np.cumsum(edge) > 0))
                     out["items"].append([items[k] for k in np.unique(item[window[low:high]])])
-                if docs.size:
-                    yield pa.RecordBatch.from_pydict(
-                        {"segment": pa.array(out["segment"], pa.int64()), "ord": pa.array(out["ord"], pa.int32()), "hits": pa.array(out["hits"], pa.list_(pa.int64())), "items": pa.array(out["items"], pa.list_(pa.string()))}
-                    )
+                yield pa.RecordBatch.from_pydict(
+                    {"segment": pa.array(out["segment"], pa.int64()), "ord": pa.array(out["ord"], pa.int32()), "hits": pa.array(out["hits"], pa.list_(pa.int64())), "items": pa.array(out["items"], pa.list_(pa.string()))}
+                )
 
     return run
 
