@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from karstflow.plans import oracles, queries
+
+QUERIES = {f.__name__: f for f in queries.ALL}
+ORACLES = oracles.sql()
