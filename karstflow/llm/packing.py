@@ -13,7 +13,9 @@ across it, sees each new chunk once.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -23,51 +25,108 @@ from pyspark.sql import functions as F
 
 #: Documents of a group, about.
 GROUP = 16384
-#: Chunks that a task remembers at most, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+#: Chunks of text that a worker remembers at most, the longest that it remembers, and characters handled at a time.
+REMEMBERED, LONGEST, TOGETHER = 1_000_000, 48, 1 << 20
+#: White space that chunks end at. split() without arguments would also end them at characters that tokenizers keep.
+_SPACES = "\t\n\x0b\x0c\r"
+#: Latin letters (but for the capital I with dot, whose lower case is two characters) and ASCII punctuation after them.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
+#: A mark of tokens that end a word, in vocabularies that have one.
+_END = "</w>"
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, for a tokenizer that drops white space and splits at it."""
+    """Ids of texts as little-endian 32-bit bytes, for a tokenizer that lower-cases, drops white space and splits at it, at
+    punctuation after letters, and marks the last token of each piece."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for x, n in vocabulary.items() if x.endswith(_END)]] = True
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that the tokenizer doesn't split: many at once, parted where a token ends a word."""
+        out = {}
+        for k in range(0, len(pieces), 500):
+            part = pieces[k : k + 500]
+            ids = np.frombuffer(self._encoded([" ".join(part)])[0], np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                cuts = [0, *(4 * cuts).tolist()]
+                data = ids.tobytes()
+                out.update((x, data[cuts[n] : cuts[n + 1]]) for n, x in enumerate(part))
+            else:
+                out.update(zip(part, self._encoded(part), strict=True))
+        return out
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, found, strict=True)}
+        """Ids of new chunks; what is short is remembered."""
+        plain, other = {}, []
+        for c in chunks:
+            m = _PLAIN.fullmatch(c)
+            if m:
+                plain[c] = (m[1].lower(), m[2])
+            else:
+                other.append(c)
+        pieces = self._pieces([x for x in dict.fromkeys(x for both in plain.values() for x in both) if x not in self.known])
+        at = lambda x: pieces[x] if x in pieces else self.known[x]
+        found = dict(zip(other, self._encoded(other), strict=True))
+        for c, (word, mark) in plain.items():
+            found[c] = at(word) + at(mark)
+        for new in (pieces, found):
+            self.known.update((c, x) for c, x in new.items() if len(c) <= LONGEST)
+        return found
 
     def ids(self, texts: list[str]):
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for text in texts:
-            # split() without arguments would also split at characters that the tokenizer keeps
-            chunks = text.translate(_TO_SPACE).split(" ")
-            new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-            own = self._learn(new) if new else {}
-            if own:
-                self.known.update((c, x) for c, x in own.items() if len(c) <= LONGEST)
-                yield b"".join([self.known[c] if c in self.known else own[c] for c in chunks])
+        i = 0
+        while i < len(texts):
+            parts, held = [], 0
+            while i < len(texts) and (not parts or held + len(texts[i]) <= TOGETHER):
+                text = texts[i]
+                held += len(text)
+                for space in _SPACES:
+                    text = text.replace(space, " ")
+                parts.append(text.split(" "))
+                i += 1
+            if len(self.known) > REMEMBERED:
+                self.known = {"": b""}
+            wanted = set().union(*parts)
+            new = self._learn([c for c in wanted if c not in self.known])
+            if all(len(c) <= LONGEST for c in new):
+                for chunks in parts:
+                    yield b"".join(map(self.known.__getitem__, chunks))
             else:
-                yield b"".join(map(self.known.__getitem__, chunks))
+                for chunks in parts:
+                    yield b"".join([new[c] if c in new else self.known[c] for c in chunks])
+
+
+_encoders: dict[str, Encoder] = {}
 
 
-_TO_SPACE = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: what it has learned serves later tasks too."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _cut(path: str, end_id: int, length: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             keys, total, sums = batch.column(0), [], []
-            for ids in encoder.ids(texts):
+            for ids in own.ids(texts):
                 ids += end
                 total.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[k : k + 4 * length]) for k in range(0, len(ids), 4 * length)])
