@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karstflow.llm import decontaminate, language_id, line_dedup, near_dup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
+from karstflow.llm.oracles import ORACLES
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=16)
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,4 +103,3 @@ QUERIES = {
         op10_sharding,
     )
 }
-ORACLES: dict[str, str] = {}
