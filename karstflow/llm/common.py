@@ -1,37 +1,51 @@
-"""What several operators share: the shared folder, and numpy views of batches of texts."""
+"""What several operators share: stored tables, joins on hot keys, and numpy views of batches of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import functools
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from karstflow.functions.shared import shared_dir, stored
+
+__all__ = ["shared_dir", "stored"]
 
 #: Bytes of text that a numpy block holds at most, unless one document alone has more.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+
+#: Keys with more than one in HOT of all rows are hot: there are fewer than HOT of them.
+HOT = 2000
 
-_own_dir: list[str] = []
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """The inner join of rows with a table of one row a key, whose column n has the number of rows of the key.
+
+    Rows of hot keys aren't shuffled: the table's rows for those, fewer than HOT of them, are broadcast.
+    """
+    hot = F.broadcast(table.where(F.col(n) > total // HOT))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(n) <= total // HOT), keys)
+    return rows.join(hot, keys).unionByName(cold)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="karstflow-"))
-    return "file://" + _own_dir[0]
+def lean(run):
+    """A function of batches that gives memory back when its task ends: workers wait for more tasks with what they hold."""
 
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return wrapped
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,21 +105,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def lowered(buffer: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[buffer]
+
+
+def hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings data[begin:end]."""
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_CODES[data] * _power(_BASE, len(data)), out=total[1:])
+    return mixed((total[end] - total[begin]) * _power(_INVERSE, len(data) + 1)[begin] + (end - begin).astype(np.uint64))
+
+
 def words(buffer: np.ndarray, starts: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a spaced() buffer after A-Z is lower-cased, and the first word of each document
     (and the end). in_word: 256 booleans, by byte of the lower-cased text; the buffer's pad byte must not be in a word.
     """
-    low = _LOWER[buffer]
+    low = lowered(buffer)
     inside = in_word[low]
     flips = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(inside) and inside[0]:
         flips = np.concatenate([[0], flips])
     begin, end = flips[::2], flips[1::2]
-    total = np.empty(len(low) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_CODES[low] * _power(_BASE, len(low)), out=total[1:])
-    found = mixed((total[end] - total[begin]) * _power(_INVERSE, len(low))[begin] + (end - begin).astype(np.uint64))
-    return found, np.searchsorted(begin, starts)
+    return hashed(low, begin, end), np.searchsorted(begin, starts)
 
 
 def shingled(hashes: np.ndarray, size: int) -> np.ndarray:

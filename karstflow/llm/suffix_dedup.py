@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm import common
-from karstflow.llm.common import mixed, stored
+from karstflow.llm.common import lean, mixed, stored
 
 GRAM = 16
 WINDOW = 128
@@ -88,21 +88,10 @@ def _anchors(data: np.ndarray, ends: np.ndarray, shape: Shape) -> np.ndarray:
     return found[np.flatnonzero(np.diff(found, prepend=-1))]
 
 
-class _Hashed:
-    """Hashes of substrings of a buffer."""
-
-    def __init__(self, data: np.ndarray):
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(common._CODES[data] * common._power(common._BASE, len(data)), out=self.total[1:])
-        self.inverse = common._power(common._INVERSE, len(data) + 1)
-
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.total[end] - self.total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
-
-
 def _listed(shape: Shape):
     """(context, class, id, digest, at): the anchors of each document with the hashes of their surroundings."""
 
+    @lean
     def run(batches):
         for batch in batches:
             data, ends = common.utf8(batch.column(2))
@@ -112,11 +101,10 @@ def _listed(shape: Shape):
                 if not len(at):
                     continue
                 doc = np.searchsorted(edges, at, "right") - 1
-                hashed = _Hashed(own)
                 low, high = at - shape.left, at + shape.right
                 around = (np.maximum(edges[doc], low - shape.reach), np.minimum(edges[doc + 1], high + shape.reach))
-                context = hashed.of(low, high)
-                kind = mixed(hashed.of(*around) ^ mixed((low - around[0]).astype(np.uint64) * np.uint64(131) + (around[1] - high).astype(np.uint64)))
+                context = common.hashed(own, low, high)
+                kind = mixed(common.hashed(own, *around) ^ mixed((low - around[0]).astype(np.uint64) * np.uint64(131) + (around[1] - high).astype(np.uint64)))
                 for k in range(0, len(at), 1 << 16):
                     part = slice(k, k + (1 << 16))
                     take = pa.array(doc[part] + i)
@@ -131,6 +119,7 @@ def _listed(shape: Shape):
 def _surrounded(shape: Shape):
     """(context, class, before, after, large): the bytes around the context of each representative, outwards."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for text, reps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -199,6 +188,7 @@ def _merged(shape: Shape):
         columns = (np.array(context, np.int64)[some], np.array(kind, np.int64)[some], found[some, 0], found[some, 1])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["context", "class", "low", "high"])
 
+    @lean
     def run(batches):
         rows = []
         for batch in batches:
@@ -216,6 +206,7 @@ def _merged(shape: Shape):
 def _offsets(shape: Shape):
     """(key, context, class, k) for every offset k of a class: key is the hash of the whole string."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 1 << 10):
@@ -236,6 +227,7 @@ def _offsets(shape: Shape):
 def _cleared(shape: Shape):
     """Removes what the repeated strings cover."""
 
+    @lean
     def run(batches):
         for batch in batches:
             out = {"id": [], "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
@@ -294,8 +286,8 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = 400, key: str = "doc_id",
     shape = Shape(min_bytes)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     anchors = stored(rows.mapInArrow(_listed(shape), "context long, class long, id long, digest long, at long"), "anchors")
-    twice = anchors.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("context")
-    found = stored(anchors.join(twice, "context"), "repeated")
+    twice = stored(anchors.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+    found = stored(common.joined(anchors, twice, ["context"], "n", anchors.count()).drop("n"), "repeated")
 
     classes = found.groupBy("context", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "digest", "at")).alias("rep"))
     classes = stored(classes, "classes")
@@ -308,14 +300,15 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = 400, key: str = "doc_id",
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = around.where("not large").drop("large").repartition(n, "context").sortWithinPartitions("context")
-    masks = small.mapInArrow(_merged(shape), "context long, class long, low long, high long")
+    masks = stored(small.mapInArrow(_merged(shape), "context long, class long, low long, high long"), "masks")
     offsets = around.where("large").drop("large").mapInArrow(_offsets(shape), "key long, context long, class long, k int")
     again = offsets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     bit = lambda test, k: F.coalesce(F.bit_or(F.when(test, F.expr(f"shiftleft(1L, {k})"))), F.lit(0).cast("long"))
     masks = masks.union(offsets.join(again, "key").groupBy("context", "class").agg(bit(F.col("k") < 64, "k").alias("low"), bit(F.col("k") >= 64, "k - 64").alias("high")))
 
-    verdicts = classes.select("context", "class", (F.col("n") > 1).alias("every")).join(masks, ["context", "class"], "left").where("every or low is not null")
-    marks = found.join(verdicts, ["context", "class"]).groupBy(F.col("id").alias("mid"), F.col("digest").alias("mdigest")).agg(F.collect_list(F.struct("at", "every", "low", "high")).alias("marks"))
+    verdicts = classes.select("context", "class", "n", (F.col("n") > 1).alias("every")).join(masks, ["context", "class"], "left").where("every or low is not null")
+    verdicts = stored(verdicts, "verdicts")
+    marks = common.joined(found, verdicts, ["context", "class"], "n", found.count()).groupBy(F.col("id").alias("mid"), F.col("digest").alias("mdigest")).agg(F.collect_list(F.struct("at", "every", "low", "high")).alias("marks"))
     final = rows.join(marks.hint("shuffle_hash"), same("mid", "mdigest"), "left").select("id", "text", "marks")
     spans = "spans array<struct<start:long,end:long>>"
     return final.mapInArrow(_cleared(shape), f"id long, n_bytes long, n_removed long, {spans}, kept binary").withColumnRenamed("id", "doc_id")
