@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from karstflow.llm.common import joined, lean, stored
+
 FILTER_BITS = 1 << 28
 #: Bits of a filter that are merged at a time.
 SEGMENT_BITS = 1 << 21
@@ -67,6 +69,7 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
 def _filled(min_chars: int, bits: int):
     """Scan 1: a partition's pair of filters, as the non-empty segments' set bits."""
 
+    @lean
     def run(batches):
         once, twice = _Bits(bits), _Bits(bits)
         for batch in batches:
@@ -89,6 +92,7 @@ def _filled(min_chars: int, bits: int):
     return run
 
 
+@lean
 def _merged(batches):
     """The `twice` bits of each segment; rows come sorted by segment."""
     now, once, twice = None, None, None
@@ -120,6 +124,7 @@ def _merged(batches):
 def _suspected(min_chars: int, bits: int, shared):
     """Scan 2: (id, digest of the key) of every key that `twice` has."""
 
+    @lean
     def run(batches):
         twice = _Bits(8)
         twice.bytes = np.frombuffer(shared.value, np.uint8)
@@ -142,6 +147,7 @@ def _suspected(min_chars: int, bits: int, shared):
 def _dropped(min_chars: int):
     """Takes the lines out whose keys are in `drop`."""
 
+    @lean
     def run(batches):
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
@@ -194,10 +200,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: s
         whole[segment * (SEGMENT_BITS >> 3) : (segment + 1) * (SEGMENT_BITS >> 3)] = np.frombuffer(data, np.uint8)
     shared = spark.sparkContext.broadcast(whole.tobytes())
 
-    suspects = rows.select("id", "text").mapInArrow(_suspected(min_chars, bits, shared), "id long, key binary")
+    suspects = stored(rows.select("id", "text").mapInArrow(_suspected(min_chars, bits, shared), "id long, key binary").distinct(), "suspects")
     chosen = F.max("id") if keep == "last" else F.min("id")
-    confirmed = suspects.groupBy("key").agg(F.countDistinct("id").alias("n"), chosen.alias("keeper")).where(F.col("n") >= min_docs)
-    drops = suspects.join(confirmed, "key").where("id <> keeper").groupBy("id").agg(F.collect_set("key").alias("drop"))
+    confirmed = stored(suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), chosen.alias("keeper")).where(F.col("n") >= min_docs), "confirmed")
+    drops = joined(suspects, confirmed, ["key"], "n", suspects.count()).where("id <> keeper").groupBy("id").agg(F.collect_set("key").alias("drop"))
     out = rows.join(drops.hint("shuffle_hash"), "id", "left").select("row", "text", "drop").mapInArrow(
         _dropped(min_chars), T.StructType().add("row", rows.schema["row"].dataType).add("text", "string").add("n_lines", "long").add("n_dropped", "long")
     )
