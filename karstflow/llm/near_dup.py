@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm import common
-from karstflow.llm.common import stored
-from karstflow.llm.components import components
+from karstflow.llm.common import lean, stored
+from karstflow.operators.graph import components
 
 ROWS = 4
 MISS = 1e-9
-BLOCK = 1024
+BLOCK = 512
 _LEAST = -(1 << 63)
 
 #: Bytes of a word: all but the space and the control characters 9 to 13.
@@ -81,6 +81,7 @@ def _sets(column: pa.Array, size: int):
 def _signed(size: int, hashes: int):
     a, b = _universal(hashes)
 
+    @lean
     def run(batches):
         for batch in batches:
             counts, classes, signs = [], [], []
@@ -101,6 +102,7 @@ def _signed(size: int, hashes: int):
 def _full(size: int, hashes: int):
     a, b = _universal(hashes)
 
+    @lean
     def run(batches):
         for batch in batches:
             found = list(_sets(batch.column(1), size))
@@ -118,6 +120,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint32).reshape(len(column), -1) if data else np.zeros((0, ROWS), np.uint32)
 
 
+@lean
 def _banded(batches):
     for batch in batches:
         sig = _matrix(batch.column(1)).astype(np.uint64)
@@ -196,7 +199,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     banded = reps.select("id", "sig").mapInArrow(_banded, "band long, id long")
     crowded = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     noted = stored(banded.join(crowded, "band").where("id > a").select("a", "id").distinct(), "noted")
-    heads = noted.groupBy("a").agg((F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("chunks"))
+    heads = stored(noted.groupBy("a").agg((F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("chunks")), "heads")
     wanted = noted.select("id").union(noted.select("a")).distinct()
     sets = stored(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_full(shingle, hashes), "id long, sig binary, set binary"), "sets").where("sig is not null")
 
@@ -209,7 +212,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     joined = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
 
     large = heads.where("chunks > 1").select("a")
-    split = _unsettled(noted.join(large, "a"), joined, sets, search)
+    groups = stored(members.union(leaders).select("a", "id").distinct().join(large, "a"), "groups")
+    split = _unsettled(groups, joined, sets, search)
     if split is not None:
         links = links.union(stored(split, "more"))
         joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -221,15 +225,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     return whole.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _unsettled(noted: DataFrame, joined: DataFrame, sets: DataFrame, search) -> DataFrame | None:
-    """Links (a, b) between the components that are left in each leader's group; None if no group holds several.
+def _unsettled(groups: DataFrame, joined: DataFrame, sets: DataFrame, search) -> DataFrame | None:
+    """Links (a, b) between the components that are left in each leader's group (a, id; the leader's own row included);
+    None if no group holds several.
 
     Members outside the leader's component (minor) look, from their own block i, at every block j: the minor ones (0 to
     m-1), then those of the leader's component (m to m+l-1).
     """
-    named = noted.join(joined, "id", "left").select("a", "id", F.coalesce("component", "id").alias("comp"))
-    lead = noted.select("a").distinct().join(joined, F.col("a") == F.col("id"), "left").select("a", F.coalesce("component", "a").alias("lead"))
-    rows = named.union(lead.select("a", F.col("a").alias("id"), F.col("lead").alias("comp"))).join(lead, "a").withColumn("minor", F.col("comp") != F.col("lead"))
+    named = stored(groups.join(joined, "id", "left").select("a", "id", F.coalesce("component", "id").alias("comp")), "named")
+    lead = named.where("id = a").select("a", F.col("comp").alias("lead"))
+    rows = named.join(lead, "a").withColumn("minor", F.col("comp") != F.col("lead"))
     sizes = rows.groupBy("a").agg(F.count_if("minor").alias("m"), F.count_if(~F.col("minor")).alias("l")).where("m > 0")
     rows = stored(rows.join(sizes, "a").select("a", "id", "comp", "minor", "m", "l"), "unsettled")
     if not rows.head(1):
