@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm import common
-from karstflow.llm.common import stored
+from karstflow.llm.common import lean, stored
 
 #: Words of test items that are broadcast at a time: 8 bytes each.
 BLOCK_WORDS = 1 << 20
+#: Bytes of text in a segment, unless one document has more.
+SEGMENT_BYTES = 4 << 20
 #: Candidate starts that are held at a time.
 CANDIDATES = 1 << 20
 
@@ -32,6 +34,7 @@ IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
 INDEX = "segment long, ids array<long>, starts binary, terms binary, lists binary, positions binary"
 
 
+@lean
 def _indexed(batches):
     from pyspark import TaskContext
 
@@ -39,7 +42,7 @@ def _indexed(batches):
     for batch in batches:
         data, ends = common.utf8(batch.column(1))
         ids = batch.column(0)
-        for i, j in common.blocks(ends):
+        for i, j in common.blocks(ends, SEGMENT_BYTES):
             hashes, firsts = common.words(*common.spaced(data, ends, i, j, 32), IN_WORD)
             order = np.argsort(hashes, kind="stable")
             terms, lists = np.unique(hashes[order], return_index=True)
@@ -142,6 +145,7 @@ def _near(segment: _Segment, words: np.ndarray, start: np.ndarray, length: np.nd
         yield part[which], position, doc
 
 
+@lean
 def _item_words(batches):
     for batch in batches:
         data, ends = common.utf8(batch.column(1))
@@ -152,6 +156,7 @@ def _item_words(batches):
 
 
 def _query(shared, size: int, reach: int | None):
+    @lean
     def run(batches):
         items, firsts, words = shared.value
         words, firsts = np.frombuffer(words, np.uint64), np.array(firsts)
