@@ -16,7 +16,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more that three documents or more hold stay in the last one only."""
-    done = line_dedup.dedup_lines(docs, min_chars=20, min_docs=3, keep="last").drop("n_lines", "n_dropped")
+    done = line_dedup.dedup_lines(docs, min_chars=20, min_docs=3, keep="last", counts=False)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)

@@ -172,8 +172,8 @@ def _dropped(min_chars: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: str = "last", key: str = "doc_id", text: str = "text", bits: int = FILTER_BITS) -> DataFrame:
-    """docs with repeated lines taken out of the text, and n_lines (before) and n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: str = "last", key: str = "doc_id", text: str = "text", bits: int = FILTER_BITS, counts: bool = True) -> DataFrame:
+    """docs with repeated lines taken out of the text, and, with `counts`, n_lines (before) and n_dropped.
 
     A line's key is the line without white space at both ends, A-Z lower-cased. Keys of at least min_chars code points
     in at least min_docs documents lose all their lines but those of the document with the largest key column
@@ -181,12 +181,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: s
 
     A null or empty text is one empty line and stays as it is. Rows with the same doc_id are one document; null ids are
     one document that comes before all others. An empty table gives an empty result. Other columns pass through; if
-    docs has columns n_lines or n_dropped, the result has the new ones in their stead.
+    docs has columns n_lines or n_dropped, the counts stand in their stead.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
     spark = docs.sparkSession
-    others = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
+    if bits % SEGMENT_BITS or bits & (bits - 1):
+        raise ValueError("bits must be a power of two and a multiple of SEGMENT_BITS")
+    new = ["n_lines", "n_dropped"] if counts else []
+    others = [c for c in docs.columns if c not in (text, *new)]
     rows = docs.select(
         F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LEAST)).alias("id"),
         F.col(f"`{text}`").alias("text"),
@@ -209,4 +212,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: s
     )
     back = {c: F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(others)}
     kept = [F.col("text").alias(c) if c == text else back[c] for c in docs.columns if c == text or c in back]
-    return out.select(*kept, "n_lines", "n_dropped")
+    return out.select(*kept, *new)

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def test_encoder_is_the_tokenizer():
     own, draw = packing.Encoder(WORDS), random.Random(3)
     some = ["a", "B", "é", "É", " ", "\n", "'", "'s", "<|endoftext|>", "<|", "|>", "endoftext", "́", "e", "\x1c", "İ", "ß", "ſ", "7", "½", "Σ", "ς", "!!", "...", "_", "中", "ﬁ", "​", "K", "word" * 20]
     texts = ["".join(draw.choices(some, k=draw.choice([0, 1, 3, 10, 80]))) for _ in range(3000)]
-    for text, ids in zip(texts, own.ids(texts), strict=True):
+    for text, ids in zip(texts, own.ids(pa.array(texts)), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -136,8 +137,6 @@ def test_language_scores_are_bayes(made):
     """The sparse sums against log-probabilities added up one by one."""
     import math
 
-    import pyarrow as pa
-
     from karstflow.llm import chargrams
 
     docs = made([(1, "the cat sat"), (2, "the dog"), (3, "der hund und")]).withColumn("lang", F.when(F.col("doc_id") == 3, "de").otherwise("en"))
@@ -193,7 +192,7 @@ def test_quality_votes_are_exact():
             continue
         near = model.vectors @ (x / np.linalg.norm(x))
         top = np.argsort(-near)[: quality_classifier.NEAREST]
-        vote = np.maximum(near[top], 0) ** 4 * model.weight[top]
+        vote = np.maximum(near[top], 0) ** quality_classifier.POWER * model.weight[top]
         assert score == pytest.approx(float((vote * model.good[top]).sum() / vote.sum()), abs=1e-4)
 
 
