@@ -5,9 +5,7 @@ their own, and the rests are packed. Rests are dealt to groups of about GROUP do
 and each group is packed alone: longest first, each into the first open sequence with room, which a tournament tree
 over the sequences' room finds in logarithmic time.
 
-Tokenising happens once, where the text is read; only (key, lengths, checksums) is shuffled. Words repeat, so that each
-task looks ids up by chunk of text between ASCII white space; the tokenizer, which drops white space and never joins
-across it, sees each new chunk once.
+Tokenising happens once, where the text is read; only (key, lengths, checksums) is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +13,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
@@ -23,21 +20,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karstflow.llm import common
+from karstflow.llm.common import lean
+
 #: Documents of a group, about.
 GROUP = 16384
-#: Chunks of text that a worker remembers at most, the longest that it remembers, and characters handled at a time.
-REMEMBERED, LONGEST, TOGETHER = 1_000_000, 48, 1 << 20
-#: White space that chunks end at. split() without arguments would also end them at characters that tokenizers keep.
-_SPACES = "\t\n\x0b\x0c\r"
-#: Latin letters (but for the capital I with dot, whose lower case is two characters) and ASCII punctuation after them.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
+#: Chunks of text that a task remembers, about; 30 bytes each.
+REMEMBERED = 1_000_000
+#: Latin letters, or ASCII punctuation: one piece for the tokenizer. The capital I with dot has a longer lower case.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+|[!-/:-@\\[-`{-~]+")
 #: A mark of tokens that end a word, in vocabularies that have one.
 _END = "</w>"
+#: What special tokens begin with.
+_SPECIAL = b"<|"
+
+# Classes of bytes: white space that chunks end at, ASCII letters, ASCII punctuation, others.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[33:48] = _CLASS[58:65] = _CLASS[91:97] = _CLASS[123:127] = 2
+
+
+def _edges(ends: bool, split: bool) -> np.ndarray:
+    """By class before * 4 + class after: whether a chunk begins (or ends) between. split: also between letter and punctuation."""
+    cut = lambda p, c: split and (p, c) == (1, 2)
+    return np.array([(p != 0 and (c == 0 or cut(p, c))) if ends else (c != 0 and (p == 0 or cut(p, c))) for p in range(4) for c in range(4)])
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, for a tokenizer that lower-cases, drops white space and splits at it, at
-    punctuation after letters, and marks the last token of each piece."""
+    """Ids of texts, for a tokenizer that lower-cases, drops white space, splits at it and between letters and punctuation,
+    and marks the last token of each piece.
+
+    Texts are cut into chunks at such places, on bytes and many texts at once. Each new chunk is encoded once; known ones
+    are found by 64-bit hash in sorted arrays, and their ids are gathered from one pool.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,72 +63,88 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for x, n in vocabulary.items() if x.endswith(_END)]] = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that the tokenizer doesn't split: many at once, parted where a token ends a word."""
-        out = {}
-        for k in range(0, len(pieces), 500):
-            part = pieces[k : k + 500]
-            ids = np.frombuffer(self._encoded([" ".join(part)])[0], np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                cuts = [0, *(4 * cuts).tolist()]
-                data = ids.tobytes()
-                out.update((x, data[cuts[n] : cuts[n + 1]]) for n, x in enumerate(part))
-            else:
-                out.update(zip(part, self._encoded(part), strict=True))
-        return out
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks; what is short is remembered."""
-        plain, other = {}, []
-        for c in chunks:
-            m = _PLAIN.fullmatch(c)
-            if m:
-                plain[c] = (m[1].lower(), m[2])
-            else:
-                other.append(c)
-        pieces = self._pieces([x for x in dict.fromkeys(x for both in plain.values() for x in both) if x not in self.known])
-        at = lambda x: pieces[x] if x in pieces else self.known[x]
-        found = dict(zip(other, self._encoded(other), strict=True))
-        for c, (word, mark) in plain.items():
-            found[c] = at(word) + at(mark)
-        for new in (pieces, found):
-            self.known.update((c, x) for c, x in new.items() if len(c) <= LONGEST)
-        return found
-
-    def ids(self, texts: list[str]):
-        i = 0
-        while i < len(texts):
-            parts, held = [], 0
-            while i < len(texts) and (not parts or held + len(texts[i]) <= TOGETHER):
-                text = texts[i]
-                held += len(text)
-                for space in _SPACES:
-                    text = text.replace(space, " ")
-                parts.append(text.split(" "))
-                i += 1
-            if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-            wanted = set().union(*parts)
-            new = self._learn([c for c in wanted if c not in self.known])
-            if all(len(c) <= LONGEST for c in new):
-                for chunks in parts:
-                    yield b"".join(map(self.known.__getitem__, chunks))
-            else:
-                for chunks in parts:
-                    yield b"".join([new[c] if c in new else self.known[c] for c in chunks])
+        self.forget()
+
+    def forget(self) -> None:
+        """Gives back what was remembered."""
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pool, self.first, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
+
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> np.ndarray:
+        """The slots of new chunks. Those that are one piece are encoded many at once, and parted where a token ends a word."""
+        ids, sizes = [], np.zeros(len(chunks), np.int64)
+        plain = [k for k, c in enumerate(chunks) if (c.isascii() and c.isalpha()) or _PLAIN.fullmatch(c)]
+        rest = np.ones(len(chunks), bool)
+        order = []
+        for k in range(0, len(plain), 500):
+            part = plain[k : k + 500]
+            found = np.array(self._encoded([" ".join([chunks[x] for x in part])])[0], np.uint32)
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(found):
+                sizes[part] = np.diff(cuts, prepend=0)
+                rest[part] = False
+                ids.append(found)
+                order += part
+        other = np.flatnonzero(rest).tolist()
+        for k, found in zip(other, self._encoded([chunks[k] for k in other]), strict=True):
+            sizes[k] = len(found)
+            ids.append(np.array(found, np.uint32))
+        order += other
+        first = np.zeros(len(chunks), np.int64)
+        first[order] = len(self.pool) + np.cumsum(sizes[order]) - sizes[order]
+        self.pool = np.concatenate([self.pool, *ids])
+        slots = len(self.first) + np.arange(len(chunks))
+        self.first, self.length = np.concatenate([self.first, first]), np.concatenate([self.length, sizes])
+        up = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[up])
+        self.keys, self.slots = np.insert(self.keys, at, keys[up]), np.insert(self.slots, at, slots[up])
+        return slots
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """The slots of keys; -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        up = np.argsort(keys)  # a search in ascending order stays in the cache
+        at = np.empty(len(keys), np.int64)
+        at[up] = np.minimum(np.searchsorted(self.keys, keys[up]), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slots[at], -1)
+
+    def ids(self, column: pa.Array):
+        """The ids of each text as little-endian 32-bit bytes. A null text has none."""
+        data, ends = common.utf8(column)
+        for i, j in common.blocks(ends):
+            buffer, starts = common.spaced(data, ends, i, j, 32)
+            if len(self.keys) > REMEMBERED:
+                self.forget()
+            special = _SPECIAL in buffer.tobytes()  # such a block is cut at white space only, and keeps its case
+            low = buffer if special else common.lowered(buffer)
+            kind = _CLASS[buffer]
+            pair = np.empty(len(kind), np.uint8)
+            pair[0], pair[1:] = kind[0], kind[:-1] * 4 + kind[1:]
+            begin, end = np.flatnonzero(_edges(False, not special)[pair]), np.flatnonzero(_edges(True, not special)[pair])
+            code, keys = pd.factorize(common.hashed(low, begin, end))
+            slots = self._found(keys)
+            new = np.flatnonzero(slots < 0)
+            if len(new):
+                where = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))[new]
+                slots[new] = self._learn(keys[new], [low[a:b].tobytes().decode() for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
+            slots = slots[code]
+            size = self.length[slots]
+            total = np.concatenate([[0], np.cumsum(size)])
+            found = self.pool[np.repeat(self.first[slots] - total[:-1], size) + np.arange(total[-1])].astype("<u4").tobytes()
+            cuts = (4 * total[np.searchsorted(begin, starts)]).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield found[a:b]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder: what it has learned serves later tasks too."""
+    """The worker's encoder."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -121,16 +153,17 @@ def encoder(path: str) -> Encoder:
 def _cut(path: str, end_id: int, length: int):
     end = np.array([end_id], "<u4").tobytes()
 
+    @lean
     def run(batches):
         own = encoder(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
             keys, total, sums = batch.column(0), [], []
-            for ids in own.ids(texts):
+            for ids in own.ids(batch.column(1)):
                 ids += end
                 total.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[k : k + 4 * length]) for k in range(0, len(ids), 4 * length)])
             yield pa.RecordBatch.from_arrays([keys, pa.array(total, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "sums"])
+        own.forget()  # workers wait for other tasks with what they hold
 
     return run
 
