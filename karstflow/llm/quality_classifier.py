@@ -1,10 +1,11 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
 Texts are hashed character trigrams (half of the buckets) and trigrams of character kinds (the other half), weighted by
-log(1 + count) and inverse document frequency. A truncated singular value decomposition of a bounded labelled sample
-gives RANK directions; the sample's unit vectors (SAMPLE of each label, about: 1 MiB in all) are broadcast with them.
+log(1 + count) and inverse document frequency, the first half less (PLAIN), as kinds tell quality in any language. A
+truncated singular value decomposition of a bounded labelled sample gives RANK directions; the sample's unit vectors
+(SAMPLE of each label, about: 1 MiB in all) are broadcast with them.
 Each document's cosine with every labelled vector is computed exactly, a block of documents at a time, and the NEAREST
-ones vote with their similarity. Votes are weighted so that the sampling of labels doesn't shift the score.
+ones vote with a power of their similarity. Votes are weighted so that the sampling of labels doesn't shift the score.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm import chargrams
+from karstflow.llm.common import lean
 
 BITS = 11  # of each half
 BUCKETS = 2 << BITS
-RANK = 64
+RANK = 48
+PLAIN = 0.3
 SAMPLE = 2000
-NEAREST = 25
+NEAREST, POWER = 25, 8
 #: Documents whose vectors are held at a time.
 ROWS = 256
 
@@ -56,6 +59,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+@lean
 def _featured(batches):
     for batch in batches:
         for i, counts in _portions(batch.column(0)):
@@ -84,6 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
     good = np.array([r["good"] for r in found], np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    idf[: 1 << BITS] *= np.float32(PLAIN)
     x = _unit(np.log1p(x) * idf)
     # truncated singular value decomposition by subspace iteration
     rank = min(RANK, *x.shape)
@@ -105,7 +110,7 @@ def scored(model: Model, counts: np.ndarray) -> np.ndarray:
     near = x @ model.vectors.T
     k = min(NEAREST, near.shape[1])
     top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    vote = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** 4 * model.weight[top]
+    vote = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** POWER * model.weight[top]
     both = vote.sum(axis=1, dtype=np.float64)
     return np.where(both > 0, (vote * model.good[top]).sum(axis=1, dtype=np.float64) / np.where(both > 0, both, 1), model.prior).clip(0, 1)
 
@@ -120,6 +125,7 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text: str =
     rows = docs.select(F.col(f"`{text}`").alias("_text"), *[c.alias(name) for name, c in keep.items()])
     kept = list(keep)
 
+    @lean
     def run(batches):
         for batch in batches:
             score = [scored(shared.value, counts) for _, counts in _portions(batch.column(0))]
