@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm import chargrams
+from karstflow.llm.common import lean
 
 BITS = 16
 SIZES = (1, 2, 3)
@@ -42,6 +43,7 @@ def _letters(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(letter, points, np.uint32(32))[keep], rows[keep], n
 
 
+@lean
 def _counted(batches):
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -108,6 +110,7 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text: str =
     rows = docs.select(F.col(f"`{text}`").alias("_text"), *[c.alias(name) for name, c in keep.items()])
     kept = list(keep)
 
+    @lean
     def run(batches):
         for batch in batches:
             names, probability = scores(shared.value, batch.column(0))

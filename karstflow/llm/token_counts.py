@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from karstflow.llm.common import lean
+
 #: Pre-tokens of a leaf.
 LEAF = 64
 #: Old leaves behind an edit at whose starts re-encoding may end; if it meets none, it goes on to the text's end.
@@ -179,6 +181,7 @@ def _with(rows: DataFrame, **more: T.DataType) -> T.StructType:
 
 
 def _state(path: str):
+    @lean
     def run(batches):
         counter = Counter(path)
         for batch in batches:
@@ -208,6 +211,7 @@ def apply_edits(state: DataFrame, edits: Column, ranks: str) -> DataFrame:
     """
     rows = state.select("text", "doc_id", "leaf_chars", "leaf_tokens", "n_tokens", edits.alias("edits"))
 
+    @lean
     def run(batches):
         counter = Counter(ranks)
         for batch in batches:
