@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from karstflow.functions.shared import stored
@@ -139,9 +139,11 @@ def components(edges: DataFrame, ids: DataFrame | None = None, max_rounds: int =
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     mark = None
     for _ in range(max_rounds):
-        now = stored(_small_star(_large_star(now)), "star")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if seen == mark or not seen[0]:
+        watch = Observation()  # counted while the round is written
+        step = _small_star(_large_star(now)).observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum"))
+        now = stored(step, "star")
+        seen = watch.get
+        if seen == mark or not seen["n"]:
             break
         mark = seen
     else:

@@ -82,13 +82,16 @@ def detect(pairs: DataFrame, parameters: Parameters | None = None, a: str = "src
         engine = "task" if edges.count() <= TASK_EDGES and _wedge_count(degree) <= TASK_WEDGES else "plan"
     log: list[dict] = []
     if engine == "task":
-        rows = stored(kernel.settled(edges.select("u", "v"), p), "settled")
+        alone = pairs.where(F.col(a) == F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct()
+        rows = stored(kernel.settled(edges.select("u", "v").union(alone), p), "settled")
         log = [r["log"].asDict() for r in rows.where("log is not null").select("log").orderBy("log.n").collect()]
-        distances = rows.where("log is null").select("u", "v", "d")
+        distances = rows.where("d is not null")
+        communities = rows.where("d is null and log is null").select(F.col("u").alias("id"), F.col("v").alias("comm"))
     else:
         distances = _iterated(edges, degree, p, log)
-    found = graph.components(distances.where("d < 1").select("u", "v"), ids)
-    communities = stored(graph.numbered_components(found), "communities")
+        found = graph.components(distances.where("d < 1").select("u", "v"), ids)
+        communities = stored(graph.numbered_components(found), "communities")
+    distances = distances.select("u", "v", "d")
     return Result(communities, distances, degree, log, {"engine": engine, "start": began, "end": time.time()})
 
 
