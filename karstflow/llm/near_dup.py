@@ -84,17 +84,14 @@ def _signed(size: int, hashes: int):
     @lean
     def run(batches):
         for batch in batches:
-            counts, classes, signs = [], [], []
-            for found in _sets(batch.column(1), size):
-                counts.append(len(found))
-                classes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                signs.append(_signature(found, a, b).tobytes() if len(found) else None)
-            for k in range(0, len(counts), 2000):
-                part = slice(k, k + 2000)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part], pa.array(counts[part], pa.int64()), pa.array(classes[part], pa.binary()), pa.array(signs[part], pa.binary())],
-                    names=["id", "n", "class", "sig"],
-                )
+            for k in range(0, batch.num_rows, 2000):
+                part = batch[k : k + 2000]
+                counts, classes, signs = [], [], []
+                for found in _sets(part.column(1), size):
+                    counts.append(len(found))
+                    classes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                    signs.append(_signature(found, a, b).tobytes() if len(found) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary())], names=["id", "n", "class", "sig"])
 
     return run
 
@@ -105,11 +102,11 @@ def _full(size: int, hashes: int):
     @lean
     def run(batches):
         for batch in batches:
-            found = list(_sets(batch.column(1), size))
-            for k in range(0, len(found), 500):
-                part = found[k : k + 500]
-                signs = pa.array([_signature(x, a, b).tobytes() if len(x) else None for x in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 500], signs, pa.array([x.tobytes() for x in part], pa.binary())], names=["id", "sig", "set"])
+            for k in range(0, batch.num_rows, 500):
+                part = batch[k : k + 500]
+                found = list(_sets(part.column(1), size))
+                signs = pa.array([_signature(x, a, b).tobytes() if len(x) else None for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), signs, pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "sig", "set"])
 
     return run
 
