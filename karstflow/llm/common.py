@@ -48,6 +48,13 @@ def lean(run):
     return wrapped
 
 
+def sliced(batches, rows: int = 1000):
+    """The batches in slices of a few rows: what is made of the texts at a time stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes end to end and the len+1 offsets into them. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstflow.llm.common import joined, lean, stored
+from karstflow.llm.common import joined, lean, sliced, stored
 
 FILTER_BITS = 1 << 28
 #: Bits of a filter that are merged at a time.
@@ -72,7 +72,7 @@ def _filled(min_chars: int, bits: int):
     @lean
     def run(batches):
         once, twice = _Bits(bits), _Bits(bits)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [xxhash.xxh3_64_intdigest(k) for t in _texts(batch, "text") for k in _keys(t, min_chars)]
             hashes, times = np.unique(np.array(found, np.uint64), return_counts=True)
             a, b = _places(hashes, bits)
@@ -128,7 +128,7 @@ def _suspected(min_chars: int, bits: int, shared):
     def run(batches):
         twice = _Bits(8)
         twice.bytes = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, keys = [], []
             for i, text in zip(batch.column(0).to_pylist(), _texts(batch, "text"), strict=True):
                 found = _keys(text, min_chars)
@@ -149,7 +149,7 @@ def _dropped(min_chars: int):
 
     @lean
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, n_lines, n_dropped = [], [], []
             column = batch.column(batch.schema.get_field_index("text"))
             drops = batch.column(batch.schema.get_field_index("drop")).to_pylist()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm import common
-from karstflow.llm.common import lean, mixed, stored
+from karstflow.llm.common import lean, mixed, sliced, stored
 
 GRAM = 16
 WINDOW = 128
@@ -121,7 +121,7 @@ def _surrounded(shape: Shape):
 
     @lean
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             for text, reps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text.encode()
                 out = {"context": [], "class": [], "before": [], "after": [], "large": []}
@@ -229,7 +229,7 @@ def _cleared(shape: Shape):
 
     @lean
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = {"id": [], "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
 
             def done():
