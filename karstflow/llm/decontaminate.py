@@ -31,7 +31,7 @@ CANDIDATES = 1 << 20
 IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
 
-INDEX = "segment long, ids array<long>, starts binary, terms binary, lists binary, positions binary"
+INDEX = "segment long, ids array<long>, digests array<long>, starts binary, terms binary, lists binary, positions binary"
 
 
 @lean
@@ -41,22 +41,23 @@ def _indexed(batches):
     task, k = TaskContext.get().partitionId(), 0
     for batch in batches:
         data, ends = common.utf8(batch.column(1))
-        ids = batch.column(0)
+        own = batch.column(0), batch.column(2)
         for i, j in common.blocks(ends, SEGMENT_BYTES):
             hashes, firsts = common.words(*common.spaced(data, ends, i, j, 32), IN_WORD)
             order = np.argsort(hashes, kind="stable")
             terms, lists = np.unique(hashes[order], return_index=True)
             parts = (firsts.astype(np.int64), terms, np.append(lists, len(order)).astype(np.int64), order.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + k], pa.int64()), pa.array([ids[i:j].to_pylist()], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in parts]],
-                names=["segment", "ids", "starts", "terms", "lists", "positions"],
+                [pa.array([(task << 32) + k], pa.int64()), *[pa.array([x[i:j].to_pylist()], pa.list_(pa.int64())) for x in own], *[pa.array([x.tobytes()], pa.binary()) for x in parts]],
+                names=["segment", "ids", "digests", "starts", "terms", "lists", "positions"],
             )
             k += 1
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index of every word of every document: a row for each segment. Null texts have no words."""
-    return stored(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(_indexed, INDEX), "postings")
+    """The stored index of every word of every document: a row for each segment. Null texts have no words. Each document
+    is listed with its id and a digest of its text, as ids may be null or repeated."""
+    return stored(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("digest")).mapInArrow(_indexed, INDEX), "postings")
 
 
 class _Segment:
@@ -189,7 +190,7 @@ def _query(shared, size: int, reach: int | None):
 
 
 def _search(index: DataFrame, items: DataFrame, item_key: str, text: str, size: int, reach: int | None) -> DataFrame:
-    """doc_id, n_words, hits (word numbers), items (ids as strings), for each document of the index."""
+    """doc_id, digest, n_words, hits (word numbers), items (ids as strings), for each document of the index."""
     spark = index.sparkSession
     own = items.select(F.col(f"`{item_key}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null")
     own = stored(own.mapInArrow(_item_words, "item string, words binary"), "items")
@@ -203,18 +204,18 @@ def _search(index: DataFrame, items: DataFrame, item_key: str, text: str, size:
         one = index.select("segment", "starts", "terms", "lists", "positions").mapInArrow(_query(shared, size, reach), "segment long, ord int, hits array<long>, items array<string>")
         found = one if found is None else found.union(one)
     found = found.groupBy("segment", "ord").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    docs = index.select("segment", "ids", "starts").mapInArrow(_listed, "segment long, ord int, doc_id long, n_words long")
+    docs = index.select("segment", "ids", "digests", "starts").mapInArrow(_listed, "segment long, ord int, doc_id long, digest long, n_words long")
     empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>")).alias(c)
-    return docs.join(found, ["segment", "ord"], "left").select("doc_id", "n_words", empty("hits", "long"), empty("items", "string"))
+    return docs.join(found, ["segment", "ord"], "left").select("doc_id", "digest", "n_words", empty("hits", "long"), empty("items", "string"))
 
 
 def _listed(batches):
     for batch in batches:
-        for segment, ids, starts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for segment, ids, digests, starts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([segment] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(np.diff(np.frombuffer(starts, np.int64)), pa.int64())],
-                names=["segment", "ord", "doc_id", "n_words"],
+                [pa.array([segment] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(np.diff(np.frombuffer(starts, np.int64)), pa.int64())],
+                names=["segment", "ord", "doc_id", "digest", "n_words"],
             )
 
 
@@ -225,13 +226,13 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10, item_ke
     Null and empty texts of either table have no words and match nothing; items with a null id are left out; repeated
     rows are searched each for itself; empty tables give no hits. The hits of a document are at most its words.
     """
-    return _search(index, items, item_key, text, window, None)
+    return _search(index, items, item_key, text, window, None).drop("digest")
 
 
 def near_matches(index: DataFrame, items: DataFrame, window: int = 10, reach: int = 20, item_key: str = "item_id", text: str = "text") -> DataFrame:
     """As phrase_matches(), for proximity: a hit is a word, the segment's rarest of a window, that has every other word
     of that window within `reach` words in the same document, in any order."""
-    return _search(index, items, item_key, text, window, reach)
+    return _search(index, items, item_key, text, window, reach).drop("digest")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -241,6 +242,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without a hit, with all their columns."""
-    found = contamination(docs, items, window, key, text).where("contaminated").select(F.col("doc_id").alias("_hit_id"))
-    return docs.join(found, docs[f"`{key}`"].eqNullSafe(found["_hit_id"]), "left_anti")
+    """The rows of docs without a hit, with all their columns. Rows are told apart by id and a digest of the text, so
+    that rows that share an id, or have none, are judged each by its own text."""
+    found = _search(build_index(docs, key, text), items, "item_id", "text", window, None).where(F.size("hits") > 0)
+    found = found.select(F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest"))
+    same = docs[f"`{key}`"].eqNullSafe(found["_hit_id"]) & (F.xxhash64(docs[f"`{text}`"]) == found["_hit_digest"])
+    return docs.join(found, same, "left_anti")
