@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash bands, signature and full-set verification, star-wise components.
 
 1. One scan gives each document its set of word shingles (64-bit hashes), a digest of the set, and the minima of many
-   universal hashes a*x+b (the signature). Equal sets make one class with one representative; only those go on.
+   universal hashes a*x+b (the signature). Equal sets make one class with one representative; only those go on, under a number of their own (ids may be null or repeated).
 2. Bands of ROWS minima are bucket keys. As many bands are used as make a pair at the threshold miss all of them with a
    chance under MISS. Each member of a bucket is noted with the bucket's smallest id, its leader: notes grow with rows, not
    with their square, and all members of a bucket share its leader.
@@ -20,7 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karstflow.llm import common
@@ -91,7 +91,7 @@ def _signed(size: int, hashes: int):
                     counts.append(len(found))
                     classes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     signs.append(_signature(found, a, b).tobytes() if len(found) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary())], names=["id", "n", "class", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary())], names=["id", "digest", "n", "class", "sig"])
 
     return run
 
@@ -101,7 +101,10 @@ def _full(size: int, hashes: int):
 
     @lean
     def run(batches):
+        done = set()
         for batch in batches:
+            fresh = [x for x, node in enumerate(batch.column(0).to_pylist()) if not (node in done or done.add(node))]
+            batch = batch.take(pa.array(fresh, pa.int64()))  # copies of a representative's row
             for k in range(0, batch.num_rows, 500):
                 part = batch[k : k + 500]
                 found = list(_sets(part.column(1), size))
@@ -175,30 +178,24 @@ def _searched(least: int, num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
-
-    Words are runs of other characters than the space and 9 to 13, A-Z lower-cased; a document's set is its distinct
-    runs of `shingle` words, or its whole word sequence if shorter. Documents are linked if den * intersection >=
-    num * union. component_id is the smallest doc_id reachable over links, kept tells whether that is the row's own.
-
-    Empty and null texts have n_shingles 0 and are linked with nothing. Rows are expected to have ids of their own; equal
-    rows come out as often as they came in. A null id counts as smaller than all others. An empty table gives an empty
-    result; other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
-    """
+def _grouped(docs: DataFrame, shingle: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """id (_LEAST for a null one), digest (of the text), n, node (of the row's set; null for an empty one), top (the
+    component's node with the smallest id), component (that id) for each row of docs."""
     hashes = bands_for(num, den) * ROWS
     least = least_agreement(hashes, num, den)
-    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LEAST)).alias("id"), F.col(f"`{text}`").alias("text"))
-    signed = stored(rows.mapInArrow(_signed(shingle, hashes), "id long, n long, class binary, sig binary"), "signed")
-    reps = signed.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "sig")).alias("x")).select("class", "x.id", "x.sig")
-    reps = stored(reps, "reps")
+    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LEAST)).alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("digest"))
+    signed = stored(rows.mapInArrow(_signed(shingle, hashes), "id long, digest long, n long, class binary, sig binary"), "signed")
+    classes = signed.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "digest", "sig")).alias("x"))
+    classes = stored(classes.select("class", F.monotonically_increasing_id().alias("node"), F.col("x.id").alias("least"), "x.digest", "x.sig"), "reps")
+    reps = classes.select(F.col("node").alias("id"), "sig")
 
-    banded = reps.select("id", "sig").mapInArrow(_banded, "band long, id long")
+    banded = reps.mapInArrow(_banded, "band long, id long")
     crowded = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     noted = stored(banded.join(crowded, "band").where("id > a").select("a", "id").distinct(), "noted")
     heads = stored(noted.groupBy("a").agg((F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("chunks")), "heads")
     wanted = noted.select("id").union(noted.select("a")).distinct()
-    sets = stored(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_full(shingle, hashes), "id long, sig binary, set binary"), "sets").where("sig is not null")
+    wanted = classes.join(wanted, classes["node"] == wanted["id"], "left_semi").select("node", F.col("least").alias("id"), "digest")
+    sets = stored(rows.join(wanted.hint("shuffle_hash"), ["id", "digest"]).select("node", "text").mapInArrow(_full(shingle, hashes), "id long, sig binary, set binary"), "sets").where("sig is not null")
 
     members = noted.join(heads, "a").select("a", "id", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"))
     leaders = heads.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
@@ -215,11 +212,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         links = links.union(stored(split, "more"))
         joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    labels = reps.select("class", F.col("id").alias("rep")).join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    whole = signed.select("id", "n", "class").join(labels, "class", "left")
-    component = F.coalesce("component", "rep", "id")
-    null = lambda x: F.nullif(x, F.lit(_LEAST))
-    return whole.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    named = joined.join(classes.select(F.col("node").alias("id"), "least"), "id").select("id", "component", F.struct("least", F.col("id").alias("node")).alias("x"))
+    tops = named.groupBy("component").agg(F.min("x").alias("top"))
+    tops = named.join(tops, "component").select(F.col("id").alias("node"), "top")
+    labels = classes.join(tops, "node", "left").select("class", "node", F.coalesce("top.node", "node").alias("top"), F.coalesce("top.least", "least").alias("component"))
+    whole = signed.select("id", "digest", "n", "class").join(labels, "class", "left")
+    return whole.select("id", "digest", "n", "node", "top", F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs.
+
+    Words are runs of other characters than the space and 9 to 13, A-Z lower-cased; a document's set is its distinct
+    runs of `shingle` words, or its whole word sequence if shorter. Documents are linked if den * intersection >=
+    num * union. component_id is the smallest doc_id reachable over links, kept tells whether that is the row's own.
+
+    Empty and null texts have n_shingles 0 and are linked with nothing. Rows that share an id, or
+    have none, are documents of their own, which may bear one component_id unlinked; equal rows come out as often as they
+    came in. A null id counts as smaller than all others. An empty table gives an empty
+    result; other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
+    """
+    found = _grouped(docs, shingle, num, den, key, text)
+    null = lambda x: F.nullif(F.col(x), F.lit(_LEAST))
+    return found.select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def _unsettled(groups: DataFrame, joined: DataFrame, sets: DataFrame, search) -> DataFrame | None:
@@ -249,6 +264,15 @@ def _unsettled(groups: DataFrame, joined: DataFrame, sets: DataFrame, search) ->
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates() keeps: one of each group, the one with the smallest id."""
-    found = near_duplicates(docs, shingle, num, den, key, text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(found, docs[f"`{key}`"].eqNullSafe(found["_kept_id"]), "left_semi")
+    """The rows of docs that stay: of each group of linked documents one row, one with the smallest id, and all rows of
+    empty texts."""
+    found = _grouped(docs, shingle, num, den, key, text).where("n = 0 or node = top and id = component")
+    found = found.groupBy(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest"), "top").agg(F.count(F.lit(1)).alias("_copies"))
+    # texts that differ in spaces or case can have one set: of a group's texts with the smallest id the one with the least digest
+    best = F.min("_kept_digest").over(Window.partitionBy("top", "_kept_id"))
+    found = found.withColumn("_best", best).where("top is null or _kept_digest = _best")
+    found = stored(found.select("_kept_id", "_kept_digest", (F.col("top").isNotNull() & (F.col("_copies") > 1)).alias("_several")), "kept")
+    same = (F.coalesce(docs[f"`{key}`"].cast("long"), F.lit(_LEAST)) == F.col("_kept_id")) & (F.xxhash64(docs[f"`{text}`"]) == F.col("_kept_digest"))
+    single = docs.join(found.where("not _several"), same, "left_semi")
+    several = docs.join(found.where("_several"), same).drop("_several").dropDuplicates(["_kept_id", "_kept_digest"])
+    return single.union(several.select(*[several[f"`{c}`"] for c in docs.columns]))
