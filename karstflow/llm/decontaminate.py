@@ -146,14 +146,24 @@ def _near(segment: _Segment, words: np.ndarray, start: np.ndarray, length: np.nd
         yield part[which], position, doc
 
 
-@lean
-def _item_words(batches):
-    for batch in batches:
-        data, ends = common.utf8(batch.column(1))
-        for i, j in common.blocks(ends):
-            hashes, firsts = common.words(*common.spaced(data, ends, i, j, 32), IN_WORD)
-            own = [hashes[firsts[k] : firsts[k + 1]].tobytes() for k in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(own, pa.binary())], names=["item", "words"])
+def _item_words(size: int, most: int):
+    """Pieces of the items of about `most` words that hold each window of `size` words once."""
+
+    @lean
+    def run(batches):
+        for batch in batches:
+            data, ends = common.utf8(batch.column(1))
+            for i, j in common.blocks(ends):
+                hashes, firsts = common.words(*common.spaced(data, ends, i, j, 32), IN_WORD)
+                row, own = [], []
+                for k in range(j - i):
+                    a, b = int(firsts[k]), int(firsts[k + 1])
+                    for c in range(a, max(b - size + 1, a + 1), most):
+                        row.append(i + k)
+                        own.append(hashes[c : min(b, c + most + size - 1)].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(own, pa.binary())], names=["item", "words"])
+
+    return run
 
 
 def _query(shared, size: int, reach: int | None):
@@ -189,16 +199,22 @@ def _query(shared, size: int, reach: int | None):
     return run
 
 
+def _dealt(items: DataFrame, size: int):
+    """The items' (item, text) pieces in blocks of about BLOCK_WORDS words. Each piece is dealt by a number of its own, so
+    that repeated ids spread, and has a sixteenth of a block at most, so that long items do."""
+    own = stored(items.mapInArrow(_item_words(size, max(1, BLOCK_WORDS // 16)), "item string, words binary").withColumn("no", F.monotonically_increasing_id()), "items")
+    total = own.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
+    n = max(1, -(-total // BLOCK_WORDS))
+    for k in range(n):
+        yield own.where(F.pmod(F.xxhash64("no"), F.lit(n)) == k).orderBy("item", "no").collect()
+
+
 def _search(index: DataFrame, items: DataFrame, item_key: str, text: str, size: int, reach: int | None) -> DataFrame:
     """doc_id, digest, n_words, hits (word numbers), items (ids as strings), for each document of the index."""
     spark = index.sparkSession
     own = items.select(F.col(f"`{item_key}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null")
-    own = stored(own.mapInArrow(_item_words, "item string, words binary"), "items")
-    total = own.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
-    n = max(1, -(-total // BLOCK_WORDS))
     found = None
-    for k in range(n):
-        rows = own.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).orderBy("item").collect()  # about BLOCK_WORDS words
+    for rows in _dealt(own, size):
         firsts = np.cumsum([0, *[len(r["words"]) // 8 for r in rows]]).tolist()
         shared = spark.sparkContext.broadcast(([r["item"] for r in rows], firsts, b"".join(bytes(r["words"]) for r in rows)))
         one = index.select("segment", "starts", "terms", "lists", "positions").mapInArrow(_query(shared, size, reach), "segment long, ord int, hits array<long>, items array<string>")
