@@ -374,7 +374,7 @@ def ground_truth_parse(spark, sf_dir):
 
 
 def _run(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
-    found = detect(pairs(spark, sf_dir), Parameters(lam=LAMBDA, max_iter=200, **more))
+    found = detect(pairs(spark, sf_dir), Parameters(lam=LAMBDA, **more))
     return found.communities
 
 
@@ -391,7 +391,7 @@ def full_run_single(spark, sf_dir):
 
 
 def iteration_log(spark, sf_dir):
-    found = detect(pairs(spark, sf_dir), Parameters(lam=LAMBDA, max_iter=200, gamma=100))
+    found = detect(pairs(spark, sf_dir), Parameters(lam=LAMBDA, gamma=100))
     return spark.createDataFrame([(x["n"], x["phase"], x["step"], x["active"], x["total"]) for x in found.iterations], "n int, phase string, step int, active long, total long")
 
 
