@@ -1,4 +1,4 @@
-"""What several operators share: stored tables, joins on hot keys, and numpy views of batches of texts."""
+"""What several operators share: addresses of rows, stored tables, filters and joins on hot keys, numpy views of texts."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ import ctypes
 import functools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.functions.shared import shared_dir, stored
@@ -19,6 +21,11 @@ __all__ = ["shared_dir", "stored"]
 #: Bytes of text that a numpy block holds at most, unless one document alone has more.
 BLOCK_BYTES = 1 << 20
 
+#: Bits of a Bloom filter at most: 32 MiB, which is what is broadcast of one.
+FILTER_BITS = 1 << 28
+#: Bits of a filter that are merged at a time.
+SEGMENT_BITS = 1 << 21
+
 #: Keys with more than one in HOT of all rows are hot: there are fewer than HOT of them.
 HOT = 2000
 
@@ -33,6 +40,129 @@ def joined(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: in
     return rows.join(hot, keys).unionByName(cold)
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs is files with columns chosen and rows filtered: each of its rows is one row of a file."""
+    todo = [docs._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation"):
+            return False
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return True
+
+
+def addressed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """f, r and the given columns. (f, r), the hash of its file's path and its place in the file, tells a row from all
+    others, whatever its id and text, and is the same in every scan. Rows that don't come from Parquet files are stored first."""
+
+    def found(rows: DataFrame, names: dict[str, Column]) -> DataFrame:
+        at = rows.metadataColumn("_metadata")
+        return rows.select(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("r"), *[c.alias(x) for x, c in names.items()])
+
+    if _is_scan(docs):
+        try:
+            return found(docs, columns)
+        except AnalysisException:  # files of another format
+            pass
+    return found(stored(docs.select(*[c.alias(x) for x, c in columns.items()]), "rows"), {x: F.col(x) for x in columns})
+
+
+class Bits:
+    """A bit set of fixed size with two places for each 64-bit hash."""
+
+    def __init__(self, bits: int, data: bytes | None = None):
+        self.last = np.uint64(bits - 1)
+        self.bytes = np.zeros(bits >> 3, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return hashes & self.last, (hashes >> np.uint64(32)) & self.last
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return self.bytes[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        a, b = self.places(hashes)
+        return self.at(a) & self.at(b)
+
+    def add(self, places: np.ndarray) -> None:
+        np.bitwise_or.at(self.bytes, (places >> np.uint64(3)).astype(np.int64), (1 << (places & np.uint64(7))).astype(np.uint8))
+
+
+def _placed(bits: int):
+    """(segment, places in it) of the bits of a column of hashes."""
+    size = min(bits, SEGMENT_BITS)
+
+    @lean
+    def run(batches):
+        own = Bits(bits, b"")
+        for batch in batches:
+            hashes = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
+            places = np.unique(np.concatenate(own.places(hashes)))
+            segments, first = np.unique(places // np.uint64(size), return_index=True)
+            parts = [(x % np.uint64(size)).astype(np.uint32).tobytes() for x in np.split(places, first[1:])] if len(places) else []
+            yield pa.RecordBatch.from_arrays([pa.array(segments.astype(np.int32)), pa.array(parts, pa.binary())], names=["segment", "places"])
+
+    return run
+
+
+def _joined_places(bits: int):
+    """The bytes of each segment; rows come sorted by segment."""
+    size = min(bits, SEGMENT_BITS)
+
+    @lean
+    def run(batches):
+        now, flags = None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["segment", "data"])
+
+        for batch in batches:
+            for segment, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if segment != now:
+                    if now is not None:
+                        yield out()
+                    now, flags = segment, np.zeros(size, np.uint8)
+                flags[np.frombuffer(places, np.uint32)] = 1
+        if now is not None:
+            yield out()
+
+    return run
+
+
+def sieve(keys: DataFrame, *by: str):
+    """A test for columns named like the given ones: false means that `keys` (stored; repeats don't matter) has no such
+    row; true that it may have. A Bloom filter of about 16 bits a key, FILTER_BITS at most whatever the number of keys:
+    a full one lets more rows through, so that a join has to follow.
+    """
+    spark = keys.sparkSession
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+    size = min(bits, SEGMENT_BITS)
+    hashed_ = F.xxhash64(*by)
+    n = max(1, min(bits // size, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    placed = keys.select(hashed_.alias("h")).mapInArrow(_placed(bits), "segment int, places binary")
+    merged = placed.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(_joined_places(bits), "segment int, data binary")
+    whole = np.zeros(bits >> 3, np.uint8)
+    for segment, data in merged.toLocalIterator():  # FILTER_BITS / 8 bytes in all
+        whole[segment * (size >> 3) : (segment + 1) * (size >> 3)] = np.frombuffer(data, np.uint8)
+    shared = spark.sparkContext.broadcast(whole.tobytes())
+
+    @F.pandas_udf("boolean")
+    def may_be(hashes: pd.Series) -> pd.Series:
+        return pd.Series(Bits(bits, shared.value).has(hashes.to_numpy().view(np.uint64)))
+
+    return may_be(hashed_)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows with the addresses (f, r) in `gone`, a stored table. Only rows that pass a Bloom filter of
+    the addresses are shuffled."""
+    rows = addressed(docs, **{f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
+    may = sieve(gone, "f", "r")
+    kept = rows.where(~may).unionByName(rows.where(may).join(gone.select("f", "r"), ["f", "r"], "left_anti"))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def lean(run):
     """A function of batches that gives memory back when its task ends: workers wait for more tasks with what they hold."""
 

@@ -4,37 +4,48 @@ Anchors. Of every WINDOW consecutive positions the one with the least hash of it
 last one, if several are). A string of min_bytes bytes contains a whole window in its middle, so it has a middle anchor
 that depends on its own bytes alone: wherever the string occurs, the anchor stands at the same place in it, with the same
 bytes from `left` before to `right` after it (its context). So only anchors whose context occurs twice matter, and a
-string that starts at p can only equal strings with the same context and the same offset between p and the anchor.
-
-Merging. Suffixes are sharded by context: all suffixes that can share min_bytes bytes meet in one shard, whatever task
-they come from. A shard starts with the order of its suffixes that begin at the context (by what follows it) and their
-common prefixes. The Burrows-Wheeler transform of that order, the byte before each suffix, then refines the interleave
-step by step: a stable partition by that byte is the order of the suffixes one byte longer, and the common prefix of two
-neighbours is one more than the least one between them before. No suffix is sorted again. After step k a suffix whose
-common prefix with a neighbour reaches min_bytes starts a repeated string. WINDOW - 1 steps cover all offsets.
-
-Anchors with equal surroundings are one class with one representative, counted before the shuffle. A context with
-more than SHARD classes does not go to one task: its suffixes are compared by 64-bit hashes, each offset on its own.
+string that starts at p can only equal strings with the same context and the same offset between p and the anchor. This
+is an exact filter in front of the merge, and it lines the suffixes up: of each occurrence of a context, the suffixes
+that begin 0 to WINDOW-1 bytes before it.
+
+Transforms. Occurrences with equal surroundings are one run of that many equal suffixes, with one representative. Runs
+are dealt to SHARDS shards, and each shard has a Burrows-Wheeler transform of its own: for every column, from the last
+byte of the surroundings to the first, the byte before each suffix, in the order of the suffixes.
+
+Merging. Two transforms are merged by refining their interleave: it starts with one shard's suffixes of a context before
+the other's, and each step reads the next byte of every suffix from the transforms and parts the interleave by it, in a
+stable way. That is the order of the suffixes one byte longer. The last merge derives common prefixes on the way: two
+neighbours' is one more than the least one between them a step before. Neighbours whose common prefix reaches min_bytes
+and runs of two or more are the repeated intervals. No suffix is sorted again.
+
+Hot contexts. A context with more than SHARD runs is parted: its strings with the smaller half of the offsets share more
+bytes behind the context, those with the larger half more bytes before it, and with these as a longer context they are
+merged like all others, parted again where needed. After seven halvings one offset is left, all of whose equal strings
+are one run. So no task holds more than SHARD runs of a context, and every repeat comes from a merge.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm import common
-from karstflow.llm.common import lean, mixed, sliced, stored
+from karstflow.llm.common import addressed, lean, mixed, sieve, sliced, stored
 
 GRAM = 16
 WINDOW = 128
-#: Classes of a context that one task merges at most.
+#: Runs of a context that one task merges at most.
 SHARD = 1 << 16
-#: Suffixes that are refined at a time, at least.
+#: Transforms that are merged with each other, two at a time.
+SHARDS = 4
+#: Runs that are merged at a time, at least.
 TOGETHER = 1 << 15
 _PAD = 0xFF  # never a byte of UTF-8
 _POSITION = np.uint64((1 << 28) - 1)
+_RUNS = "context long, class long, weight long, before binary, after binary, low int, width int"
 
 
 class Shape:
@@ -89,7 +100,7 @@ def _anchors(data: np.ndarray, ends: np.ndarray, shape: Shape) -> np.ndarray:
 
 
 def _listed(shape: Shape):
-    """(context, class, id, digest, at): the anchors of each document with the hashes of their surroundings."""
+    """(context, class, f, r, at): the anchors of each document with the hashes of their surroundings."""
 
     @lean
     def run(batches):
@@ -110,33 +121,36 @@ def _listed(shape: Shape):
                     take = pa.array(doc[part] + i)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(context[part].view(np.int64)), pa.array(kind[part].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((at - edges[doc])[part])],
-                        names=["context", "class", "id", "digest", "at"],
+                        names=["context", "class", "f", "r", "at"],
                     )
 
     return run
 
 
 def _surrounded(shape: Shape):
-    """(context, class, before, after, large): the bytes around the context of each representative, outwards."""
+    """Runs with the bytes around the context of each representative, outwards."""
 
     @lean
     def run(batches):
         for batch in sliced(batches):
-            for text, reps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text.encode()
-                out = {"context": [], "class": [], "before": [], "after": [], "large": []}
-                for r in reps:
-                    low, high = r["at"] - shape.left, r["at"] + shape.right
-                    out["context"].append(r["context"])
-                    out["class"].append(r["class"])
-                    out["before"].append(text[max(0, low - shape.reach) : low][::-1])
-                    out["after"].append(text[high : high + shape.reach])
-                    out["large"].append(r["large"])
-                for k in range(0, len(reps), 1 << 14):
+            for text, reps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text, reps = text.encode(), reps.values
+                at = reps.field("at").to_numpy()
+                low, high = (at - shape.left).tolist(), (at + shape.right).tolist()
+                before = [text[max(0, x - shape.reach) : x][::-1] for x in low]
+                after = [text[x : x + shape.reach] for x in high]
+                for k in range(0, len(at), 1 << 14):
                     part = slice(k, k + (1 << 14))
+                    n = len(at[part])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(out["context"][part], pa.int64()), pa.array(out["class"][part], pa.int64()), pa.array(out["before"][part], pa.binary()), pa.array(out["after"][part], pa.binary()), pa.array(out["large"][part])],
-                        names=["context", "class", "before", "after", "large"],
+                        [
+                            *(reps.field(x)[part] for x in ("context", "class", "weight")),
+                            pa.array(before[part], pa.binary()),
+                            pa.array(after[part], pa.binary()),
+                            pa.array(np.zeros(n, np.int32)),
+                            pa.array(np.full(n, shape.reach, np.int32)),
+                        ],
+                        names=["context", "class", "weight", "before", "after", "low", "width"],
                     )
 
     return run
@@ -147,81 +161,147 @@ def _padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def refined(shard: np.ndarray, before: list[bytes], after: list[bytes], reach: int) -> np.ndarray:
-    """n x 128 booleans (the first reach + 1 are used): whether the string that takes k bytes of `before` and reach - k of `after` besides the
-    common context occurs with another suffix of the shard. shard: the shard of each suffix, ascending."""
-    back, n_back = _padded(before, reach)
-    ahead, n_ahead = _padded(after, reach)
-    n = len(shard)
-    rank = np.cumsum(np.diff(shard, prepend=shard[:1]) != 0)
-    # the first order: by shard, then by what follows the context
-    keys = np.concatenate([rank.astype(">u8").view(np.uint8).reshape(n, 8), ahead], axis=1)
-    order = np.argsort(np.ascontiguousarray(keys).view(f"S{reach + 8}").ravel(), kind="stable")
-    same = ahead[order[1:]] == ahead[order[:-1]]
-    prefix = np.zeros(n + 1, np.int64)
-    prefix[1:n] = np.where(same.all(axis=1), reach, same.argmin(axis=1)) * (rank[order[1:]] == rank[order[:-1]])
-    out = np.zeros((n, 128), bool)
-    for k in range(reach + 1):
-        out[order, k] = np.maximum(prefix[:-1], prefix[1:]) >= reach
-        out[:, k] &= (k <= n_back) & (reach - k <= n_ahead)
-        if k == reach:
-            break
-        key = rank[order] * 256 + back[order, k]  # the transform: the byte before each suffix
+class Transform:
+    """A shard's transform. group: the context of each place, ascending; the suffixes of a context stand together in every
+    column. columns[t]: the byte before each suffix, in the order of the suffixes of t bytes. rows: whose suffix stands
+    where in the first column."""
+
+    def __init__(self, group: np.ndarray, columns: np.ndarray, rows: np.ndarray):
+        self.group, self.columns, self.rows = group, columns, rows
+
+    @staticmethod
+    def of(group: np.ndarray, strings: np.ndarray, rows: np.ndarray) -> Transform:
+        """Of the strings of `rows`: strings[row, t] is the byte that is taken at step t."""
+        group, order = group[rows].astype(np.int64), rows
+        columns = np.empty((strings.shape[1], len(rows)), np.uint8)
+        for t, column in enumerate(columns):
+            column[:] = strings[order, t]
+            order = order[np.argsort((group << 8) + column, kind="stable")]
+        return Transform(group, columns, rows)
+
+
+def merged(a: Transform, b: Transform, each=None) -> Transform:
+    """The transform of both shards, by refinement of their interleave. each(t, rows, prefix), if given, is told for every
+    t the suffixes of t bytes in order, and the common prefix of each with the one before it (-1 where a context begins, and
+    at the end)."""
+    group = np.concatenate([a.group, b.group])
+    start = np.argsort(group, kind="stable")
+    group, second = group[start], start >= len(a.group)
+    columns = np.empty((len(a.columns), len(group)), np.uint8)
+    rows = first = np.concatenate([a.rows, b.rows])[start]
+    prefix = edge = -np.concatenate([[1], group[1:] != group[:-1], [1]]).astype(np.int32)[-len(group) - 1 :]
+    for t, column in enumerate(columns):
+        if each:
+            each(t, rows, prefix)
+        column[~second], column[second] = a.columns[t], b.columns[t]
+        key = (group << 8) + column
         move = np.argsort(key, kind="stable")
-        joined = np.flatnonzero(key[move[1:]] == key[move[:-1]])
-        new = np.zeros(n + 1, np.int64)
-        if len(joined):
-            spans = np.stack([move[joined] + 1, move[joined + 1] + 1], axis=1).ravel()
-            new[joined + 1] = 1 + np.minimum.reduceat(prefix, spans)[::2]
-        order, prefix = order[move], new
-    return out
+        if each:
+            key = key[move]
+            joined = np.flatnonzero(key[1:] == key[:-1])
+            new = edge.copy()
+            if len(joined):
+                spans = np.stack([move[joined] + 1, move[joined + 1] + 1], axis=1).ravel()
+                new[joined + 1] = 1 + np.minimum.reduceat(prefix, spans)[::2]
+            rows, prefix = rows[move], new
+        second = second[move]
+    if each:
+        each(len(columns), rows, prefix)
+    return Transform(group, columns, first)
+
+
+def repeated(context: np.ndarray, shard: np.ndarray, weight: np.ndarray, before: list[bytes], after: list[bytes], width: int) -> np.ndarray:
+    """len(context) x (width + 1) booleans: whether the string that takes k bytes of `before` and width - k of `after` besides
+    the common context occurs again: in another run of the context, or in the run's own weight."""
+    back, n_back = _padded(before, width)
+    ahead, n_ahead = _padded(after, width)
+    strings = np.concatenate([ahead[:, ::-1], back], axis=1)
+    group = np.unique(context, return_inverse=True)[1]
+    up = np.argsort(group, kind="stable")
+    parts = [Transform.of(group, strings, up[shard[up] == s]) for s in range(SHARDS)]
+    while len(parts) > 2:
+        parts = [merged(*parts[k : k + 2]) for k in range(0, len(parts), 2)]
+    out = np.zeros((len(group), width + 1), bool)
+
+    def each(t: int, rows: np.ndarray, prefix: np.ndarray) -> None:
+        k = t - width
+        if k >= 0:
+            out[rows, k] = (np.maximum(prefix[:-1], prefix[1:]) >= width) | (weight[rows] > 1)
+
+    merged(*parts, each)
+    steps = np.arange(width + 1)
+    return out & (steps <= n_back[:, None]) & (width - steps <= n_ahead[:, None])
 
 
 def _merged(shape: Shape):
-    """Takes classes sorted by context; gives (context, class, low, high): as 128 bits, the offsets at which repeated
-    strings start."""
-
-    def done(rows):
-        context, kind, before, after = zip(*rows, strict=True)
-        found = np.packbits(refined(np.array(context, np.int64), list(before), list(after), shape.reach), axis=1, bitorder="little").view(np.int64)
+    """Takes runs sorted by width and context; gives (context, class, low, high): as 128 bits, the offsets at which
+    repeated strings start."""
+
+    def done(rows, width):
+        context, kind, weight, before, after, low = zip(*rows, strict=True)
+        kinds = np.array(kind, np.int64)
+        found = repeated(np.array(context, np.int64), kinds.view(np.uint64) % np.uint64(SHARDS), np.array(weight), list(before), list(after), width)
+        bits, low = np.zeros((len(rows), 128), bool), np.array(low)
+        for at in np.unique(low):
+            bits[low == at, at : at + width + 1] = found[low == at]
+        masks = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
         some = np.flatnonzero(found.any(axis=1))
-        columns = (np.array(context, np.int64)[some], np.array(kind, np.int64)[some], found[some, 0], found[some, 1])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["context", "class", "low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array(context, np.int64)[some], kinds[some], masks[some, 0], masks[some, 1])], names=["context", "class", "low", "high"])
 
     @lean
     def run(batches):
-        rows = []
+        rows, width = [], None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if len(rows) >= TOGETHER and row[0] != rows[-1][0]:
-                    yield from done(rows)
+            for *row, w in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if rows and (w != width or len(rows) >= TOGETHER and row[0] != rows[-1][0]):
+                    yield from done(rows, width)
                     rows = []
                 rows.append(row)
+                width = w
         if rows:
-            yield from done(rows)
+            yield from done(rows, width)
 
     return run
 
 
-def _offsets(shape: Shape):
-    """(key, context, class, k) for every offset k of a class: key is the hash of the whole string."""
-
-    @lean
-    def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1 << 10):
-                context, kind, before, after = (batch.column(c)[k : k + (1 << 10)].to_pylist() for c in range(4))
-                (back, n_back), (ahead, n_ahead) = _padded(before, shape.reach), _padded(after, shape.reach)
-                n, power = len(context), common._power(common._BASE, shape.reach)
-                b, a = (np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(common._CODES[x] * power, axis=1)], axis=1) for x in (back, ahead))
-                steps = np.arange(shape.reach + 1)
-                key = mixed(mixed(b + np.array(context, np.int64).view(np.uint64)[:, None]) + a[:, ::-1] * np.uint64(31) + steps.astype(np.uint64))
-                row, step = np.nonzero((steps <= n_back[:, None]) & (shape.reach - steps <= n_ahead[:, None]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[row, step].view(np.int64)), pa.array(np.array(context)[row]), pa.array(np.array(kind)[row]), pa.array(step.astype(np.int32))], names=["key", "context", "class", "k"]
-                )
-
-    return run
+@lean
+def _halved(batches):
+    """Of runs of hot contexts, those of the smaller and of the larger half of the offsets, under longer contexts."""
+    number = lambda data, seed: int.from_bytes(xxhash.xxh3_64_digest(data, seed & (1 << 64) - 1), "big", signed=True)
+    for batch in sliced(batches):
+        out = []
+        for context, kind, weight, before, after, low, width in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            half = width // 2
+            if len(after) >= width - half:
+                more, b, a = b"a" + after[: width - half], before[:half], after[width - half : width]
+                out.append((context, kind, number(more, context), weight, b, a, low, half))
+            if len(before) > half:
+                more, b, a = b"b" + before[: half + 1], before[half + 1 : width], after[: width - half - 1]
+                out.append((context, kind, number(more, context), weight, b, a, low + half + 1, width - half - 1))
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        columns.insert(3, [number(bytes([len(b)]) + b + a, 0) for b, a in zip(columns[4], columns[5], strict=True)])
+        kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary(), pa.int32(), pa.int32())
+        names = ("above", "member", "context", "class", "weight", "before", "after", "low", "width")
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def _masks(runs: DataFrame, shape: Shape) -> DataFrame:
+    """(context, class, low, high) of the runs (stored) that have repeated strings."""
+    spark = runs.sparkSession
+    hot = stored(runs.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, SHARD)).select("context"), "hot")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cold = runs.join(F.broadcast(hot), "context", "left_anti")  # one in SHARD of the runs at most
+    cold = cold.repartition(n, "context").sortWithinPartitions("width", "context").select("context", "class", "weight", "before", "after", "low", "width")
+    found = cold.mapInArrow(_merged(shape), "context long, class long, low long, high long")
+    if not hot.head(1):
+        return found
+    parted = runs.join(F.broadcast(hot), "context").select("context", "class", "weight", "before", "after", "low", "width")
+    parted = stored(parted.mapInArrow(_halved, f"above long, member long, {_RUNS}"), "parted")
+    first = [F.first(x).alias(x) for x in ("before", "after", "low", "width")]
+    below = stored(parted.groupBy("context", "class").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("members"), *first), "below")
+    masks = below.select("context", "class", "members").join(_masks(below.drop("members"), shape), ["context", "class"])
+    up = common.joined(parted.select("above", "member", "context", "class"), stored(masks, "masks"), ["context", "class"], "members", parted.count())
+    return found.union(up.groupBy("above", "member").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high")))
 
 
 def _cleared(shape: Shape):
@@ -238,25 +318,16 @@ def _cleared(shape: Shape):
                 return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
             held = 0
-            for id_, text, marks in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                text = (text or "").encode()
+            for id_, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text, marks = (text or "").encode(), marks.values
                 spans, kept, gone = [], text, 0
-                if marks:
-                    edge = np.zeros(len(text) + 1, np.int64)
-                    at = np.array([m["at"] for m in marks], np.int64) - shape.left
-                    every = np.array([m["every"] for m in marks], bool)
-                    # all valid offsets: first starts are max(0, at - reach), last ones at most len - size
-                    low, high = np.maximum(0, at[every] - shape.reach), np.minimum(at[every], len(text) - shape.size)
-                    np.add.at(edge, low, 1)
-                    np.add.at(edge, high + shape.size, -1)
-                    masks = np.array([(m["low"], m["high"]) for m in marks if not m["every"]], np.int64)
-                    if len(masks):
-                        bits = np.unpackbits(masks.view(np.uint8), axis=1, bitorder="little")
-                        row, k = np.nonzero(bits)
-                        start = at[~every][row] - k
-                        np.add.at(edge, start, 1)
-                        np.add.at(edge, start + shape.size, -1)
-                    covered = np.cumsum(edge)[:-1] > 0
+                if marks is not None and len(marks):
+                    masks = np.stack([marks.field("low").to_numpy(), marks.field("high").to_numpy()], axis=1)
+                    row, k = np.nonzero(np.unpackbits(masks.view(np.uint8), axis=1, bitorder="little"))
+                    starts = np.zeros(len(text) + 1, np.int64)
+                    starts[marks.field("at").to_numpy()[row] - shape.left - k] = 1
+                    so_far = np.cumsum(starts)
+                    covered = (so_far - np.concatenate([np.zeros(shape.size, np.int64), so_far])[: len(so_far)])[:-1] > 0
                     flips = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
                     spans = [{"start": int(x), "end": int(y)} for x, y in flips.reshape(-1, 2)]
                     gone = int(covered.sum())
@@ -281,34 +352,32 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = 400, key: str = "doc_id",
     A byte goes if a string of min_bytes bytes that covers it also starts anywhere else in the table, the same document
     included, overlaps counted, judged on the input; strings lie inside one document. A null text is empty, and nothing
     goes from a text under min_bytes bytes. Each row is a document of its own, so that equal rows repeat each other;
-    null ids are kept; an empty table gives an empty result; other columns are ignored.
+    null and repeated ids are kept; an empty table gives an empty result; other columns are ignored. Texts of any length
+    are read whole, a block of documents at a time, one document at least. Which of equal strings stands for the others
+    (a tie) doesn't matter: all of them go.
+
+    Of the texts only those with a representative and those that lose something are shuffled, as far as the Bloom filters
+    of their addresses hold (see common.sieve()).
     """
     shape = Shape(min_bytes)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    anchors = stored(rows.mapInArrow(_listed(shape), "context long, class long, id long, digest long, at long"), "anchors")
+    rows = addressed(docs, id=F.col(f"`{key}`").cast("long"), text=F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    anchors = stored(rows.select("f", "r", "text").mapInArrow(_listed(shape), "context long, class long, f long, r long, at long"), "anchors")
     twice = stored(anchors.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
-    found = stored(common.joined(anchors, twice, ["context"], "n", anchors.count()).drop("n"), "repeated")
+    found = stored(common.joined(anchors.where(sieve(twice, "context")), twice, ["context"], "n", anchors.count()).drop("n"), "repeated")
 
-    classes = found.groupBy("context", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "digest", "at")).alias("rep"))
+    classes = found.groupBy("context", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("f", "r", "at")).alias("rep"))
     classes = stored(classes, "classes")
-    several = classes.groupBy("context").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    one = F.struct("context", "class", F.col("rep.at").alias("at"), (F.col("classes") > SHARD).alias("large"))
-    reps = classes.join(several, "context").groupBy(F.col("rep.id").alias("rid"), F.col("rep.digest").alias("rdigest")).agg(F.collect_list(one).alias("reps"))
-    same = lambda id_, digest: rows["id"].eqNullSafe(F.col(id_)) & rows["digest"].eqNullSafe(F.col(digest))
-    joined = rows.join(reps.hint("shuffle_hash"), same("rid", "rdigest")).select("text", "reps")
-    around = stored(joined.mapInArrow(_surrounded(shape), "context long, class long, before binary, after binary, large boolean"), "around")
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = around.where("not large").drop("large").repartition(n, "context").sortWithinPartitions("context")
-    masks = stored(small.mapInArrow(_merged(shape), "context long, class long, low long, high long"), "masks")
-    offsets = around.where("large").drop("large").mapInArrow(_offsets(shape), "key long, context long, class long, k int")
-    again = offsets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    bit = lambda test, k: F.coalesce(F.bit_or(F.when(test, F.expr(f"shiftleft(1L, {k})"))), F.lit(0).cast("long"))
-    masks = masks.union(offsets.join(again, "key").groupBy("context", "class").agg(bit(F.col("k") < 64, "k").alias("low"), bit(F.col("k") >= 64, "k - 64").alias("high")))
-
-    verdicts = classes.select("context", "class", "n", (F.col("n") > 1).alias("every")).join(masks, ["context", "class"], "left").where("every or low is not null")
-    verdicts = stored(verdicts, "verdicts")
-    marks = common.joined(found, verdicts, ["context", "class"], "n", found.count()).groupBy(F.col("id").alias("mid"), F.col("digest").alias("mdigest")).agg(F.collect_list(F.struct("at", "every", "low", "high")).alias("marks"))
-    final = rows.join(marks.hint("shuffle_hash"), same("mid", "mdigest"), "left").select("id", "text", "marks")
-    spans = "spans array<struct<start:long,end:long>>"
-    return final.mapInArrow(_cleared(shape), f"id long, n_bytes long, n_removed long, {spans}, kept binary").withColumnRenamed("id", "doc_id")
+    one = F.struct("context", "class", F.col("n").alias("weight"), F.col("rep.at").alias("at"))
+    reps = stored(classes.groupBy(F.col("rep.f").alias("f"), F.col("rep.r").alias("r")).agg(F.collect_list(one).alias("reps")), "reps")
+    around = rows.where(sieve(reps, "f", "r")).join(reps.hint("shuffle_hash"), ["f", "r"]).select("text", "reps")
+    masks = _masks(stored(around.mapInArrow(_surrounded(shape), _RUNS), "around"), shape)
+
+    verdicts = stored(classes.select("context", "class", "n").join(masks, ["context", "class"]), "verdicts")
+    marks = common.joined(found, verdicts, ["context", "class"], "n", found.count()).groupBy("f", "r").agg(F.collect_list(F.struct("at", "low", "high")).alias("marks"))
+    marks = stored(marks, "marks")
+    may = sieve(marks, "f", "r")
+    cut = rows.where(may).join(marks.hint("shuffle_hash"), ["f", "r"], "left").select("id", "text", "marks")
+    cut = cut.mapInArrow(_cleared(shape), "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    none = F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:long,end:long>>").alias("spans")
+    whole = rows.where(~may).select("id", F.octet_length("text").cast("long").alias("n_bytes"), *none, F.col("text").cast("binary").alias("kept"))
+    return cut.unionByName(whole).withColumnRenamed("id", "doc_id")

@@ -102,19 +102,40 @@ def test_substrings_of_mixed_texts(made, monkeypatch, seed, shard):
     assert _sorted(found) == _sorted(want) and 0 < sum(x[2] for x in want) < sum(x[1] for x in want)
 
 
-def test_refinement_is_what_sorting_finds():
+@pytest.mark.parametrize("shards", [2, 4])
+def test_merged_transforms_find_what_counting_finds(monkeypatch, shards):
+    monkeypatch.setattr(suffix_dedup, "SHARDS", shards)
     draw = np.random.default_rng(0)
-    n, reach = 400, 12
-    shard = np.sort(draw.integers(0, 5, n))
-    part = lambda: [bytes(draw.integers(97, 99, int(draw.choice([reach, reach, reach, 5]))).astype(np.uint8)) for _ in range(n)]
+    n, width = 400, 12
+    context, shard, weight = draw.integers(0, 5, n), draw.integers(0, shards, n), draw.choice([1, 1, 1, 1, 1, 2], n)
+    part = lambda: [bytes(draw.integers(97, 99, int(draw.choice([width, width, width, 5]))).astype(np.uint8)) for _ in range(n)]
     before, after = part(), part()
-    found = suffix_dedup.refined(shard, before, after, reach)
-    for k in range(reach + 1):
-        keys = [(s, b[:k], a[: reach - k]) if len(b) >= k and len(a) >= reach - k else None for s, b, a in zip(shard, before, after, strict=True)]
-        count = Counter(keys)
+    found = suffix_dedup.repeated(context, shard, weight, before, after, width)
+    for k in range(width + 1):
+        keys = [(s, b[:k], a[: width - k]) if len(b) >= k and len(a) >= width - k else None for s, b, a in zip(context, before, after, strict=True)]
+        count = Counter()
+        for x, w in zip(keys, weight, strict=True):
+            count[x] += int(w)
         assert found[:, k].tolist() == [x is not None and count[x] > 1 for x in keys]
 
 
+def test_merging_is_building():
+    """The transform of two shards, merged, is that of all their strings; common prefixes are what comparing finds."""
+    draw = np.random.default_rng(1)
+    group, strings = np.sort(draw.integers(0, 7, 200)), draw.integers(97, 99, (200, 20)).astype(np.uint8)
+    side = draw.random(200) < 0.4
+    told = {}
+    both = suffix_dedup.merged(*(suffix_dedup.Transform.of(group, strings, np.flatnonzero(x)) for x in (side, ~side)), lambda t, rows, prefix: told.update({t: (rows.copy(), prefix.copy())}))
+    whole = suffix_dedup.Transform.of(group, strings, both.rows)
+    assert (both.group == whole.group).all() and (both.columns == whole.columns).all()
+    for t, (rows, prefix) in told.items():
+        texts = [strings[r, :t][::-1].tobytes() for r in rows]
+        assert [(group[r], x) for r, x in zip(rows, texts, strict=True)] == sorted((group[r], x) for r, x in zip(rows, texts, strict=True))
+        for k in range(1, len(rows)):
+            same = next((i for i, (x, y) in enumerate(zip(texts[k - 1], texts[k], strict=True)) if x != y), t)
+            assert prefix[k] == (same if group[rows[k]] == group[rows[k - 1]] else -1)
+
+
 @pytest.mark.parametrize(("size", "num"), [(3, 85), (5, 80)])
 def test_near_duplicates_of_odd_texts(odd, nothing, size, num):
     found = [(r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(odd, size, num).collect()]
