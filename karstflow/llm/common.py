@@ -52,20 +52,25 @@ def _is_scan(docs: DataFrame) -> bool:
     return True
 
 
-def addressed(docs: DataFrame, **columns: Column) -> DataFrame:
-    """f, r and the given columns. (f, r), the hash of its file's path and its place in the file, tells a row from all
-    others, whatever its id and text, and is the same in every scan. Rows that don't come from Parquet files are stored first."""
-
-    def found(rows: DataFrame, names: dict[str, Column]) -> DataFrame:
-        at = rows.metadataColumn("_metadata")
-        return rows.select(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("r"), *[c.alias(x) for x, c in names.items()])
-
+def scanned(docs: DataFrame) -> DataFrame:
+    """docs, if its rows come straight from Parquet files, so that their addresses are the same in every scan; else a stored copy."""
     if _is_scan(docs):
         try:
-            return found(docs, columns)
+            docs.select(docs.metadataColumn("_metadata")["row_index"])
+            return docs
         except AnalysisException:  # files of another format
             pass
-    return found(stored(docs.select(*[c.alias(x) for x, c in columns.items()]), "rows"), {x: F.col(x) for x in columns})
+    return stored(docs, "rows")
+
+
+def addressed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """f, r and the given columns. (f, r), the hash of its file's path and its place in the file, tells a row from all
+    others, whatever its id and text. Between calls it is the same if docs is scanned()."""
+    if not _is_scan(docs):
+        docs, columns = docs.select(*[c.alias(x) for x, c in columns.items()]), {x: F.col(x) for x in columns}
+    docs = scanned(docs)
+    at = docs.metadataColumn("_metadata")
+    return docs.select(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("r"), *[c.alias(x) for x, c in columns.items()])
 
 
 class Bits:
@@ -155,7 +160,7 @@ def sieve(keys: DataFrame, *by: str):
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the rows with the addresses (f, r) in `gone`, a stored table. Only rows that pass a Bloom filter of
+    """docs (scanned) but for the rows with the addresses (f, r) in `gone`, a stored table. Only rows that pass a Bloom filter of
     the addresses are shuffled."""
     rows = addressed(docs, **{f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
     may = sieve(gone, "f", "r")

@@ -7,7 +7,8 @@ that building needs no shuffle and a query runs on all segments at once. The tes
 
 A window's postings are intersected from its rarest term in the segment on: the list of that term, shifted by the term's
 place in the window, gives the candidate starts; the next rarest term's list thins them out, and so on to the last. What
-is left is an exact phrase match. near_matches() asks instead that every term lie within some words of the rarest one.
+is left is an exact phrase match. near_matches() asks instead that all terms of a window lie in one span of some words:
+there rarity only chooses where to look, as each such span holds the rarest term too.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm import common
-from karstflow.llm.common import lean, stored
+from karstflow.llm.common import addressed, lean, scanned, stored, without
 
 #: Words of test items that are broadcast at a time: 8 bytes each.
 BLOCK_WORDS = 1 << 20
@@ -31,7 +32,7 @@ CANDIDATES = 1 << 20
 IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
 
-INDEX = "segment long, ids array<long>, digests array<long>, starts binary, terms binary, lists binary, positions binary"
+INDEX = "segment long, ids array<long>, fs array<long>, rs array<long>, starts binary, terms binary, lists binary, positions binary"
 
 
 @lean
@@ -41,7 +42,7 @@ def _indexed(batches):
     task, k = TaskContext.get().partitionId(), 0
     for batch in batches:
         data, ends = common.utf8(batch.column(1))
-        own = batch.column(0), batch.column(2)
+        own = [batch.column(c) for c in (0, 2, 3)]
         for i, j in common.blocks(ends, SEGMENT_BYTES):
             hashes, firsts = common.words(*common.spaced(data, ends, i, j, 32), IN_WORD)
             order = np.argsort(hashes, kind="stable")
@@ -49,15 +50,16 @@ def _indexed(batches):
             parts = (firsts.astype(np.int64), terms, np.append(lists, len(order)).astype(np.int64), order.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(task << 32) + k], pa.int64()), *[pa.array([x[i:j].to_pylist()], pa.list_(pa.int64())) for x in own], *[pa.array([x.tobytes()], pa.binary()) for x in parts]],
-                names=["segment", "ids", "digests", "starts", "terms", "lists", "positions"],
+                names=["segment", "ids", "fs", "rs", "starts", "terms", "lists", "positions"],
             )
             k += 1
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The stored index of every word of every document: a row for each segment. Null texts have no words. Each document
-    is listed with its id and a digest of its text, as ids may be null or repeated."""
-    return stored(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("digest")).mapInArrow(_indexed, INDEX), "postings")
+    is listed with its id and its row's address (f, r), as ids may be null or repeated."""
+    rows = addressed(docs, id=F.col(f"`{key}`").cast("long"), text=F.col(f"`{text}`"))
+    return stored(rows.select("id", "text", "f", "r").mapInArrow(_indexed, INDEX), "postings")
 
 
 class _Segment:
@@ -136,14 +138,32 @@ def _phrases(segment: _Segment, words: np.ndarray, start: np.ndarray, length: np
 
 
 def _near(segment: _Segment, words: np.ndarray, start: np.ndarray, length: np.ndarray, size: int, reach: int):
-    """(windows, positions of the rarest word) where every other word is within `reach` words, in one document."""
+    """(windows, positions) of the words of a window in spans of reach + 1 words, inside one document, that hold all its
+    words. Every such span holds the window's rarest word, so that only its surroundings are looked at."""
     for part, at, number, which, position in _candidates(segment, words, start, length, size):
         doc = np.searchsorted(segment.starts, position, "right") - 1
-        low, high = np.maximum(segment.starts[doc], position - reach), np.minimum(segment.starts[doc + 1] - 1, position + reach)
+        low, high = np.maximum(segment.starts[doc], position - reach), np.minimum(segment.starts[doc + 1], position + reach + 1)
         for r in range(1, size):
-            stay = segment.first(number[at[which, r]], low) <= high
-            which, position, doc, low, high = which[stay], position[stay], doc[stay], low[stay], high[stay]
-        yield part[which], position, doc
+            stay = segment.first(number[at[which, r]], low) < high
+            which, doc, low, high = which[stay], doc[stay], low[stay], high[stay]
+        found: dict[tuple[int, int], int] = {}
+        for w, d, a, b in zip(which.tolist(), doc.tolist(), low.tolist(), high.tolist(), strict=True):
+            terms = np.unique(number[at[w]])
+            here = np.zeros((len(terms), b - a + 1), np.int64)  # how many of each term stand before a place
+            for k, term in enumerate(terms):
+                own = segment.positions[segment.lists[term] : segment.lists[term + 1]]
+                here[k, own[np.searchsorted(own, a) : np.searchsorted(own, b)] - a + 1] = 1
+            one = here[:, 1:].any(axis=0)
+            here = here.cumsum(axis=1)
+            span = min(reach + 1, b - a)
+            whole = np.flatnonzero((here[:, span:] > here[:, : b - a - span + 1]).all(axis=0))
+            edge = np.zeros(b - a + 1, np.int64)
+            np.add.at(edge, whole, 1)
+            np.add.at(edge, whole + span, -1)
+            found.update({(w, a + x): d for x in np.flatnonzero((edge.cumsum()[:-1] > 0) & one).tolist()})
+        if found:
+            which, position = np.array(list(found), np.int64).T
+            yield part[which], position, np.fromiter(found.values(), np.int64, len(found))
 
 
 def _item_words(size: int, most: int):
@@ -191,7 +211,7 @@ def _query(shared, size: int, reach: int | None):
                     out["segment"].append(row["segment"])
                     out["ord"].append(d)
                     out["hits"].append(np.flatnonzero(np.cumsum(edge) > 0))
-                    out["items"].append([items[k] for k in np.unique(item[window[low:high]])])
+                    out["items"].append([items[k] for k in np.unique(item[window[low:high]]) if items[k] is not None])
                 yield pa.RecordBatch.from_pydict(
                     {"segment": pa.array(out["segment"], pa.int64()), "ord": pa.array(out["ord"], pa.int32()), "hits": pa.array(out["hits"], pa.list_(pa.int64())), "items": pa.array(out["items"], pa.list_(pa.string()))}
                 )
@@ -210,9 +230,9 @@ def _dealt(items: DataFrame, size: int):
 
 
 def _search(index: DataFrame, items: DataFrame, item_key: str, text: str, size: int, reach: int | None) -> DataFrame:
-    """doc_id, digest, n_words, hits (word numbers), items (ids as strings), for each document of the index."""
+    """doc_id, f, r, n_words, hits (word numbers), items (ids as strings), for each document of the index."""
     spark = index.sparkSession
-    own = items.select(F.col(f"`{item_key}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null")
+    own = items.select(F.col(f"`{item_key}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text"))
     found = None
     for rows in _dealt(own, size):
         firsts = np.cumsum([0, *[len(r["words"]) // 8 for r in rows]]).tolist()
@@ -220,18 +240,18 @@ def _search(index: DataFrame, items: DataFrame, item_key: str, text: str, size:
         one = index.select("segment", "starts", "terms", "lists", "positions").mapInArrow(_query(shared, size, reach), "segment long, ord int, hits array<long>, items array<string>")
         found = one if found is None else found.union(one)
     found = found.groupBy("segment", "ord").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    docs = index.select("segment", "ids", "digests", "starts").mapInArrow(_listed, "segment long, ord int, doc_id long, digest long, n_words long")
+    docs = index.select("segment", "ids", "fs", "rs", "starts").mapInArrow(_listed, "segment long, ord int, doc_id long, f long, r long, n_words long")
     empty = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>")).alias(c)
-    return docs.join(found, ["segment", "ord"], "left").select("doc_id", "digest", "n_words", empty("hits", "long"), empty("items", "string"))
+    return docs.join(found, ["segment", "ord"], "left").select("doc_id", "f", "r", "n_words", empty("hits", "long"), empty("items", "string"))
 
 
 def _listed(batches):
     for batch in batches:
-        for segment, ids, digests, starts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for segment, ids, fs, rs, starts in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([segment] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(np.diff(np.frombuffer(starts, np.int64)), pa.int64())],
-                names=["segment", "ord", "doc_id", "digest", "n_words"],
+                [pa.array([segment] * n, pa.int64()), pa.array(range(n), pa.int32()), *(pa.array(x, pa.int64()) for x in (ids, fs, rs, np.diff(np.frombuffer(starts, np.int64))))],
+                names=["segment", "ord", "doc_id", "f", "r", "n_words"],
             )
 
 
@@ -239,28 +259,30 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10, item_ke
     """doc_id, n_words, hits, items for each indexed document: the numbers of its words that lie in an occurrence of
     `window` consecutive words of an item (of the whole item if it is shorter), and those items' ids as strings.
 
-    Null and empty texts of either table have no words and match nothing; items with a null id are left out; repeated
-    rows are searched each for itself; empty tables give no hits. The hits of a document are at most its words.
+    Null and empty texts of either table have no words and match nothing; an item with a null id hits words like any
+    other, but isn't listed; repeated rows are searched each for itself; empty tables give no hits. The hits of a document
+    are at most its words, however long it and the items are.
     """
-    return _search(index, items, item_key, text, window, None).drop("digest")
+    return _search(index, items, item_key, text, window, None).drop("f", "r")
 
 
 def near_matches(index: DataFrame, items: DataFrame, window: int = 10, reach: int = 20, item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """As phrase_matches(), for proximity: a hit is a word, the segment's rarest of a window, that has every other word
-    of that window within `reach` words in the same document, in any order."""
-    return _search(index, items, item_key, text, window, reach).drop("digest")
+    """As phrase_matches(), for proximity: hits are the words of a window that lie in a part of a document whose first and
+    last words are at most `reach` places apart and which holds every word of the window, in any order. A word that the window
+    has twice is asked for once. What a document has of hits depends on itself and the items alone."""
+    return _search(index, items, item_key, text, window, reach).drop("f", "r")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated for each row of docs; see phrase_matches()."""
+    """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated for each row of docs; see phrase_matches(), which
+    says what null, empty, long and repeated rows give."""
     found = phrase_matches(build_index(docs, key, text), items, window, item_key, item_text)
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("hits") > 0).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without a hit, with all their columns. Rows are told apart by id and a digest of the text, so
-    that rows that share an id, or have none, are judged each by its own text."""
-    found = _search(build_index(docs, key, text), items, "item_id", "text", window, None).where(F.size("hits") > 0)
-    found = found.select(F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest"))
-    same = docs[f"`{key}`"].eqNullSafe(found["_hit_id"]) & (F.xxhash64(docs[f"`{text}`"]) == found["_hit_digest"])
-    return docs.join(found, same, "left_anti")
+    """The rows of docs without a hit, with all their columns; see phrase_matches(). Rows are told apart by their address, so
+    that rows that share an id, or have none, are judged each by its own text. An empty table gives an empty result."""
+    docs = scanned(docs)
+    hit = _search(build_index(docs, key, text), items, "item_id", "text", window, None).where(F.size("hits") > 0)
+    return without(docs, stored(hit.select("f", "r"), "hit"))

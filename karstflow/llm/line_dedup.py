@@ -4,7 +4,8 @@ Scan 1 puts the 64-bit hash of every line key into a pair of Bloom filters, `onc
 bits in `once` were set already). Each task fills a pair of its own; the pairs are merged by segment, where the bits
 that two tasks share also go to `twice`. A key of two documents is always in `twice`; a key of one is there by chance
 only. Scan 2 tests every key against `twice`, and only what passes is shuffled, as 16-byte digests of whole keys, for
-the exact count of documents and the choice of the one that keeps its lines.
+the exact count of documents and the choice of the one that keeps its lines. Scan 3 takes the lines out; of the texts only
+those that lose lines are shuffled, as far as a Bloom filter of their rows' addresses holds.
 
 The filters' size is fixed (FILTER_BITS, 32 MiB each at 2**28 bits) whatever the input, so that what is broadcast has a
 proven bound. With more keys than it is made for (about 10**8 distinct ones for a tenth of chance hits), more keys that
@@ -22,11 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karstflow.llm.common import joined, lean, sliced, stored
+from karstflow.llm.common import FILTER_BITS, SEGMENT_BITS, Bits, addressed, joined, lean, sieve, sliced, stored
 
-FILTER_BITS = 1 << 28
-#: Bits of a filter that are merged at a time.
-SEGMENT_BITS = 1 << 21
 _SPACE = b" \t\n\x0b\x0c\r"
 _LEAST = -(1 << 63)
 
@@ -43,24 +41,6 @@ def _keys(text: bytes, min_chars: int) -> set[bytes]:
     return {k for line in text.split(b"\n") if len(line) >= min_chars and (k := _key(line, min_chars)) is not None}
 
 
-def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    last = np.uint64(bits - 1)
-    return hashes & last, (hashes >> np.uint64(32)) & last
-
-
-class _Bits:
-    """A bit set of fixed size."""
-
-    def __init__(self, bits: int):
-        self.bytes = np.zeros(bits >> 3, np.uint8)
-
-    def has(self, at: np.ndarray) -> np.ndarray:
-        return self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
-
-    def add(self, at: np.ndarray) -> None:
-        np.bitwise_or.at(self.bytes, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-
-
 def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     column = batch.column(batch.schema.get_field_index(name))
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
@@ -71,13 +51,12 @@ def _filled(min_chars: int, bits: int):
 
     @lean
     def run(batches):
-        once, twice = _Bits(bits), _Bits(bits)
+        once, twice = Bits(bits), Bits(bits)
         for batch in sliced(batches):
             found = [xxhash.xxh3_64_intdigest(k) for t in _texts(batch, "text") for k in _keys(t, min_chars)]
             hashes, times = np.unique(np.array(found, np.uint64), return_counts=True)
-            a, b = _places(hashes, bits)
-            again = (times > 1) | (once.has(a) & once.has(b))
-            for at in (a, b):
+            again = (times > 1) | once.has(hashes)
+            for at in once.places(hashes):
                 once.add(at)
                 twice.add(at[again])
         for kind, one in ((0, once), (1, twice)):
@@ -122,24 +101,22 @@ def _merged(batches):
 
 
 def _suspected(min_chars: int, bits: int, shared):
-    """Scan 2: (id, digest of the key) of every key that `twice` has."""
+    """Scan 2: (f, r, id, digest of the key) of every key of a row that `twice` has."""
 
     @lean
     def run(batches):
-        twice = _Bits(8)
-        twice.bytes = np.frombuffer(shared.value, np.uint8)
+        twice = Bits(bits, shared.value)
         for batch in sliced(batches):
-            ids, keys = [], []
-            for i, text in zip(batch.column(0).to_pylist(), _texts(batch, "text"), strict=True):
+            rows, keys = [], []
+            for i, text in enumerate(_texts(batch, "text")):
                 found = _keys(text, min_chars)
-                ids += [i] * len(found)
+                rows += [i] * len(found)
                 keys += found
             hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            a, b = _places(hashes, bits)
-            for part in np.array_split(np.flatnonzero(twice.has(a) & twice.has(b)), max(1, len(keys) >> 16)):
-                yield pa.RecordBatch.from_pydict(
-                    {"id": pa.array([ids[k] for k in part], pa.int64()), "key": pa.array([hashlib.blake2b(keys[k], digest_size=16).digest() for k in part], pa.binary())}
-                )
+            for part in np.array_split(np.flatnonzero(twice.has(hashes)), max(1, len(keys) >> 16)):
+                take = pa.array([rows[k] for k in part], pa.int64())
+                digests = pa.array([hashlib.blake2b(keys[k], digest_size=16).digest() for k in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), digests], names=["f", "r", "id", "key"])
 
     return run
 
@@ -179,9 +156,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: s
     in at least min_docs documents lose all their lines but those of the document with the largest key column
     (keep="last") or the smallest (keep="first"). Other lines stay, joined by newlines.
 
-    A null or empty text is one empty line and stays as it is. Rows with the same doc_id are one document; null ids are
-    one document that comes before all others. An empty table gives an empty result. Other columns pass through; if
-    docs has columns n_lines or n_dropped, the counts stand in their stead.
+    A null or empty text is one empty line and stays as it is. Rows with the same doc_id are one document, all of whose
+    lines of a key stay or go; null ids are one document that comes before all others. A text of any length is read whole; of
+    a row only its own lines are ever held. An empty table gives an empty result. Other columns pass through; if docs
+    has columns n_lines or n_dropped, the counts stand in their stead.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
@@ -190,11 +168,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: s
         raise ValueError("bits must be a power of two and a multiple of SEGMENT_BITS")
     new = ["n_lines", "n_dropped"] if counts else []
     others = [c for c in docs.columns if c not in (text, *new)]
-    rows = docs.select(
-        F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LEAST)).alias("id"),
-        F.col(f"`{text}`").alias("text"),
-        F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row"),
-    )
+    row = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    rows = addressed(docs, id=F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LEAST)), text=F.col(f"`{text}`"), row=row)
     parts = rows.select("text").mapInArrow(_filled(min_chars, bits), "segment int, kind int, data binary")
     n = max(1, min(bits // SEGMENT_BITS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     merged = parts.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(_merged, "segment int, data binary")
@@ -203,13 +178,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: s
         whole[segment * (SEGMENT_BITS >> 3) : (segment + 1) * (SEGMENT_BITS >> 3)] = np.frombuffer(data, np.uint8)
     shared = spark.sparkContext.broadcast(whole.tobytes())
 
-    suspects = stored(rows.select("id", "text").mapInArrow(_suspected(min_chars, bits, shared), "id long, key binary").distinct(), "suspects")
+    suspects = stored(rows.select("f", "r", "id", "text").mapInArrow(_suspected(min_chars, bits, shared), "f long, r long, id long, key binary"), "suspects")
     chosen = F.max("id") if keep == "last" else F.min("id")
-    confirmed = stored(suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), chosen.alias("keeper")).where(F.col("n") >= min_docs), "confirmed")
-    drops = joined(suspects, confirmed, ["key"], "n", suspects.count()).where("id <> keeper").groupBy("id").agg(F.collect_set("key").alias("drop"))
-    out = rows.join(drops.hint("shuffle_hash"), "id", "left").select("row", "text", "drop").mapInArrow(
+    by_doc = suspects.groupBy("key", "id").agg(F.count(F.lit(1)).alias("rows"))
+    confirmed = by_doc.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("rows").alias("n"), chosen.alias("keeper")).where(F.col("docs") >= min_docs).drop("docs")
+    confirmed = stored(confirmed, "confirmed")
+    drops = joined(suspects, confirmed, ["key"], "n", suspects.count()).where("id <> keeper").groupBy("f", "r").agg(F.collect_set("key").alias("drop"))
+    drops = stored(drops, "drops")
+    may = sieve(drops, "f", "r")
+    out = rows.where(may).join(drops.hint("shuffle_hash"), ["f", "r"], "left").select("row", "text", "drop").mapInArrow(
         _dropped(min_chars), T.StructType().add("row", rows.schema["row"].dataType).add("text", "string").add("n_lines", "long").add("n_dropped", "long")
     )
+    lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) + 1
+    out = out.unionByName(rows.where(~may).select("row", "text", lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
     back = {c: F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(others)}
     kept = [F.col("text").alias(c) if c == text else back[c] for c in docs.columns if c == text or c in back]
     return out.select(*kept, *new)

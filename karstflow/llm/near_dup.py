@@ -1,7 +1,8 @@
 """Near-duplicate documents: MinHash bands, signature and full-set verification, star-wise components.
 
 1. One scan gives each document its set of word shingles (64-bit hashes), a digest of the set, and the minima of many
-   universal hashes a*x+b (the signature). Equal sets make one class with one representative; only those go on, under a number of their own (ids may be null or repeated).
+   universal hashes a*x+b (the signature). Equal sets make one class with one representative; only those go on, under a
+   number of their own, as ids may be null or repeated. Full sets are made of the texts of those with a possible partner.
 2. Bands of ROWS minima are bucket keys. As many bands are used as make a pair at the threshold miss all of them with a
    chance under MISS. Each member of a bucket is noted with the bucket's smallest id, its leader: notes grow with rows, not
    with their square, and all members of a bucket share its leader.
@@ -20,11 +21,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm import common
-from karstflow.llm.common import lean, stored
+from karstflow.llm.common import addressed, joined, lean, scanned, sieve, stored, without
 from karstflow.operators.graph import components
 
 ROWS = 4
@@ -91,7 +92,9 @@ def _signed(size: int, hashes: int):
                     counts.append(len(found))
                     classes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     signs.append(_signature(found, a, b).tobytes() if len(found) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary())], names=["id", "digest", "n", "class", "sig"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), part.column(3), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.array(signs, pa.binary())], names=["id", "f", "r", "n", "class", "sig"]
+                )
 
     return run
 
@@ -101,10 +104,7 @@ def _full(size: int, hashes: int):
 
     @lean
     def run(batches):
-        done = set()
         for batch in batches:
-            fresh = [x for x, node in enumerate(batch.column(0).to_pylist()) if not (node in done or done.add(node))]
-            batch = batch.take(pa.array(fresh, pa.int64()))  # copies of a representative's row
             for k in range(0, batch.num_rows, 500):
                 part = batch[k : k + 500]
                 found = list(_sets(part.column(1), size))
@@ -179,14 +179,14 @@ def _searched(least: int, num: int, den: int):
 
 
 def _grouped(docs: DataFrame, shingle: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """id (_LEAST for a null one), digest (of the text), n, node (of the row's set; null for an empty one), top (the
-    component's node with the smallest id), component (that id) for each row of docs."""
+    """id (_LEAST for a null one), (f, r) (the row's address), n, component (the smallest id of the component), one (whether
+    the row is the one that stays of its component; true for empty sets) for each row of docs."""
     hashes = bands_for(num, den) * ROWS
     least = least_agreement(hashes, num, den)
-    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LEAST)).alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("digest"))
-    signed = stored(rows.mapInArrow(_signed(shingle, hashes), "id long, digest long, n long, class binary, sig binary"), "signed")
-    classes = signed.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "digest", "sig")).alias("x"))
-    classes = stored(classes.select("class", F.monotonically_increasing_id().alias("node"), F.col("x.id").alias("least"), "x.digest", "x.sig"), "reps")
+    rows = addressed(docs, id=F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LEAST)), text=F.col(f"`{text}`"))
+    signed = stored(rows.select("id", "text", "f", "r").mapInArrow(_signed(shingle, hashes), "id long, f long, r long, n long, class binary, sig binary"), "signed")
+    classes = signed.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "f", "r", "sig")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.select("class", F.monotonically_increasing_id().alias("node"), F.col("x.id").alias("least"), "x.f", "x.r", "x.sig", "copies"), "reps")
     reps = classes.select(F.col("node").alias("id"), "sig")
 
     banded = reps.mapInArrow(_banded, "band long, id long")
@@ -194,8 +194,9 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, key: str, text:
     noted = stored(banded.join(crowded, "band").where("id > a").select("a", "id").distinct(), "noted")
     heads = stored(noted.groupBy("a").agg((F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("chunks")), "heads")
     wanted = noted.select("id").union(noted.select("a")).distinct()
-    wanted = classes.join(wanted, classes["node"] == wanted["id"], "left_semi").select("node", F.col("least").alias("id"), "digest")
-    sets = stored(rows.join(wanted.hint("shuffle_hash"), ["id", "digest"]).select("node", "text").mapInArrow(_full(shingle, hashes), "id long, sig binary, set binary"), "sets").where("sig is not null")
+    wanted = stored(classes.join(wanted, classes["node"] == wanted["id"], "left_semi").select("node", "f", "r"), "wanted")
+    texts = rows.where(sieve(wanted, "f", "r")).join(wanted.hint("shuffle_hash"), ["f", "r"]).select("node", "text")
+    sets = stored(texts.mapInArrow(_full(shingle, hashes), "id long, sig binary, set binary"), "sets").where("sig is not null")
 
     members = noted.join(heads, "a").select("a", "id", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"))
     leaders = heads.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
@@ -203,21 +204,25 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, key: str, text:
     placed = members.union(leaders).join(sets, "id").select("a", "chunk", "id", F.col("id").alias("comp"), "sig", "set", *sides)
     search = _searched(least, num, den)
     links = stored(placed.groupBy("a", "chunk").applyInArrow(search, "a long, b long"), "links")
-    joined = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
+    linked = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "linked")
 
     large = heads.where("chunks > 1").select("a")
     groups = stored(members.union(leaders).select("a", "id").distinct().join(large, "a"), "groups")
-    split = _unsettled(groups, joined, sets, search)
+    split = _unsettled(groups, linked, sets, search)
     if split is not None:
         links = links.union(stored(split, "more"))
-        joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    named = joined.join(classes.select(F.col("node").alias("id"), "least"), "id").select("id", "component", F.struct("least", F.col("id").alias("node")).alias("x"))
+    named = linked.join(classes.select(F.col("node").alias("id"), "least"), "id").select("id", "component", F.struct("least", F.col("id").alias("node")).alias("x"))
     tops = named.groupBy("component").agg(F.min("x").alias("top"))
     tops = named.join(tops, "component").select(F.col("id").alias("node"), "top")
-    labels = classes.join(tops, "node", "left").select("class", "node", F.coalesce("top.node", "node").alias("top"), F.coalesce("top.least", "least").alias("component"))
-    whole = signed.select("id", "digest", "n", "class").join(labels, "class", "left")
-    return whole.select("id", "digest", "n", "node", "top", F.coalesce("component", "id").alias("component"))
+    labels = classes.join(tops, "node", "left").select(
+        "class", "copies", F.coalesce("top.least", "least").alias("component"), (F.coalesce("top.node", "node") == F.col("node")).alias("top"), F.col("f").alias("rep_f"), F.col("r").alias("rep_r")
+    )
+    labels = stored(labels, "labels")
+    full = joined(signed.where("n > 0").select("id", "f", "r", "n", "class"), labels, ["class"], "copies", signed.count())
+    full = full.select("id", "f", "r", "n", "component", (F.col("top") & (F.col("f") == F.col("rep_f")) & (F.col("r") == F.col("rep_r"))).alias("one"))
+    return full.union(signed.where("n = 0").select("id", "f", "r", "n", F.col("id").alias("component"), F.lit(True).alias("one")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,14 +242,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     return found.select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def _unsettled(groups: DataFrame, joined: DataFrame, sets: DataFrame, search) -> DataFrame | None:
+def _unsettled(groups: DataFrame, linked: DataFrame, sets: DataFrame, search) -> DataFrame | None:
     """Links (a, b) between the components that are left in each leader's group (a, id; the leader's own row included);
     None if no group holds several.
 
     Members outside the leader's component (minor) look, from their own block i, at every block j: the minor ones (0 to
     m-1), then those of the leader's component (m to m+l-1).
     """
-    named = stored(groups.join(joined, "id", "left").select("a", "id", F.coalesce("component", "id").alias("comp")), "named")
+    named = stored(groups.join(linked, "id", "left").select("a", "id", F.coalesce("component", "id").alias("comp")), "named")
     lead = named.where("id = a").select("a", F.col("comp").alias("lead"))
     rows = named.join(lead, "a").withColumn("minor", F.col("comp") != F.col("lead"))
     sizes = rows.groupBy("a").agg(F.count_if("minor").alias("m"), F.count_if(~F.col("minor")).alias("l")).where("m > 0")
@@ -264,15 +269,13 @@ def _unsettled(groups: DataFrame, joined: DataFrame, sets: DataFrame, search) ->
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group of linked documents one row, one with the smallest id, and all rows of
-    empty texts."""
-    found = _grouped(docs, shingle, num, den, key, text).where("n = 0 or node = top and id = component")
-    found = found.groupBy(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest"), "top").agg(F.count(F.lit(1)).alias("_copies"))
-    # texts that differ in spaces or case can have one set: of a group's texts with the smallest id the one with the least digest
-    best = F.min("_kept_digest").over(Window.partitionBy("top", "_kept_id"))
-    found = found.withColumn("_best", best).where("top is null or _kept_digest = _best")
-    found = stored(found.select("_kept_id", "_kept_digest", (F.col("top").isNotNull() & (F.col("_copies") > 1)).alias("_several")), "kept")
-    same = (F.coalesce(docs[f"`{key}`"].cast("long"), F.lit(_LEAST)) == F.col("_kept_id")) & (F.xxhash64(docs[f"`{text}`"]) == F.col("_kept_digest"))
-    single = docs.join(found.where("not _several"), same, "left_semi")
-    several = docs.join(found.where("_several"), same).drop("_several").dropDuplicates(["_kept_id", "_kept_digest"])
-    return single.union(several.select(*[several[f"`{c}`"] for c in docs.columns]))
+    """The rows of docs that stay, with all their columns: of each group of linked documents one row, one with the
+    smallest id (null the smallest; of several rows with that id any one, a tie), and all rows without words.
+
+    Rows are told apart by their address, so that repeated rows and ids count each for itself. An empty table gives an
+    empty result. Rows that go are shuffled with their texts to be left out, others only where a Bloom filter of those
+    can't tell them apart.
+    """
+    docs = scanned(docs)
+    gone = stored(_grouped(docs, shingle, num, den, key, text).where("not one").select("f", "r"), "gone")
+    return without(docs, gone)

@@ -89,10 +89,10 @@ def contamination(rows, items, size=10):
     windows = defaultdict(set)
     for i, t in items:
         w = split(t)
-        if w and i is not None:
+        if w:
             n = min(size, len(w))
             for j in range(len(w) - n + 1):
-                windows[tuple(w[j : j + n])].add(str(i))
+                windows[tuple(w[j : j + n])] |= set() if i is None else {str(i)}
     out = []
     for i, t in rows:
         w, hit, found = split(t), set(), set()
@@ -103,3 +103,20 @@ def contamination(rows, items, size=10):
                     found |= windows[tuple(w[j : j + n])]
         out.append((i, len(w), len(hit), sorted(found)))
     return out
+
+
+def proximity(rows, items, size, reach):
+    """[(id, words, numbers of the hit words, sorted item ids)]."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or ""))
+    out = []
+    for i, t in rows:
+        w, hit, found = split(t), set(), set()
+        for name, text in items:
+            v = split(text)
+            for terms in {frozenset(v[j : j + size]) for j in range(max(1, len(v) - size + 1))} if v else ():
+                for a in range(max(1, len(w) - reach)):
+                    if terms <= set(w[a : a + reach + 1]):
+                        hit.update(k for k in range(a, min(a + reach + 1, len(w))) if w[k] in terms)
+                        found.add(str(name))
+        out.append((i, len(w), sorted(hit), sorted(found)))
+    return out

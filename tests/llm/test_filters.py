@@ -196,6 +196,20 @@ def test_proximity(made, spark):
     assert all(not r.hits for r in decontaminate.phrase_matches(index, items).collect())
 
 
+@pytest.mark.parametrize("parts", [1, 3, 20])
+def test_proximity_is_the_document_s_own(made, spark, monkeypatch, parts):
+    """However documents are dealt to segments, and whatever stands beside them."""
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 1 << (6 + parts))
+    draw = np.random.default_rng(11)
+    some = lambda n, m: " ".join(f"t{int(x)}" for x in draw.integers(0, m, n))
+    rows = [*[(k, some(int(draw.integers(0, 60)), 12)) for k in range(40)], (50, None), (51, ""), (None, some(30, 8)), (None, some(30, 8))]
+    items = [*[(k, some(int(draw.integers(1, 7)), 12)) for k in range(6)], (9, "t1 t1 t2"), (10, "none of these")]
+    index = decontaminate.build_index(made(rows).repartition(parts))
+    found = [(r.doc_id, r.n_words, list(r.hits), list(r["items"])) for r in decontaminate.near_matches(index, spark.createDataFrame(items, "item_id long, text string"), window=4, reach=7).collect()]
+    want = brute.proximity(rows, items, 4, 7)
+    assert _sorted(found) == _sorted(want) and sum(len(x[2]) for x in want) > 50
+
+
 def test_index_does_not_join_documents(made, spark):
     docs = made([(1, "alpha beta"), (2, "gamma delta")])
     items = spark.createDataFrame([(1, "beta gamma"), (2, "gamma delta")], "item_id long, text string")
