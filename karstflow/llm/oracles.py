@@ -78,7 +78,7 @@ r as (select d.doc_id, octet_length(encode(d.text))::bigint + 1 as size,
     case when d.text = '' then 0 else xor(list_reduce(list_prepend(4294967295::bigint, b), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) end as text_crc32,
     'key' as law, s16.shard::int as shard, s17.shard::int as grown_shard
   from d, crc, bytes, s16, s17 where bytes.doc_id = d.doc_id and s16.doc_id = d.doc_id and s17.doc_id = d.doc_id)
-select doc_id, size, text_crc32::bigint as text_crc32, law, shard, row_number() over (partition by shard order by doc_id % 1024, doc_id) - 1 as slot, grown_shard from r"""
+select doc_id, size, text_crc32::bigint as text_crc32, law, shard, row_number() over (partition by shard order by (((doc_id + case when doc_id < 0 then 18446744073709551616::hugeint else 0 end)::uhugeint * {MULTIPLIER}::uhugeint + 1) % 18446744073709551616::uhugeint // 18014398509481984::uhugeint + text_crc32) % 1024, doc_id, text_crc32, size) - 1 as slot, grown_shard from r"""
 
 SUFFIX_DEDUP = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),

@@ -1,9 +1,9 @@
 """Packing of tokenised documents into sequences: first-fit decreasing on a tournament tree, in randomised groups.
 
 A document's ids are those of its text and one end id. They are cut every `length` ids; full pieces are sequences of
-their own, and the rests are packed. Rests are dealt to groups of about GROUP documents by a hash of the document's key,
-and each group is packed alone: longest first, each into the first open sequence with room, which a tournament tree
-over the sequences' room finds in logarithmic time.
+their own, and the rests are packed. Documents are dealt to groups of about GROUP documents by a hash of their key and
+checksums, equal ones COPIES at a time, and each group is packed alone: longest first, each into the first open sequence
+with room, which a tournament tree over the sequences' room finds in logarithmic time.
 
 Tokenising happens once, where the text is read; only (key, lengths, checksums) is shuffled.
 """
@@ -25,6 +25,8 @@ from karstflow.llm.common import lean
 
 #: Documents of a group, about.
 GROUP = 16384
+#: Equal documents that go to one group together, at most.
+COPIES = 4096
 #: Chunks of text that a task remembers, about; 30 bytes each.
 REMEMBERED = 1_000_000
 #: Latin letters, or ASCII punctuation: one piece for the tokenizer. The capital I with dot has a longer lower case.
@@ -204,6 +206,7 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
 def _packed(length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first = int(group["group"].iloc[0]) << 40
+        group = group.loc[group.index.repeat(group["copies"])]
         rests = group[group["length"] < length].sort_values(["doc_id", "doc_tokens", "ids_crc32"], kind="stable")
         whole = group[group["length"] == length].sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
         bins, offsets = first_fit_decreasing(rests["length"].to_numpy(), length)
@@ -222,13 +225,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, g
     lies in one piece; sequences hold at most `length` ids, gapless from offset 0. A null text is empty, and an empty
     one has its end id alone. Repeated rows are packed each for itself; null keys are kept; an empty table gives an empty
     result; other columns are ignored. A document of n ids costs n / length rows, whatever its length; a group holds
-    about `group` documents, however many there are.
+    about `group` documents, however many there are, have one key or are equal. Rests of one length (a tie) go by key.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     groups = max(1, -(-rows.count() // group))
     cut = rows.mapInArrow(_cut(tokenizer, end_id, length), "doc_id long, doc_tokens long, sums array<long>")
-    pieces = cut.select("doc_id", "doc_tokens", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(groups)).alias("group"), F.posexplode("sums").alias("k", "ids_crc32"))
+    kinds = cut.groupBy("doc_id", "doc_tokens", "sums").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    pieces = kinds.select(
+        "doc_id",
+        "doc_tokens",
+        F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES).cast("long").alias("copies"),
+        F.pmod(F.xxhash64("doc_id", "doc_tokens", "sums", "part", F.lit(3)), F.lit(groups)).alias("group"),
+        F.posexplode("sums").alias("k", "ids_crc32"),
+    )
     pieces = pieces.select(
-        "doc_id", "doc_tokens", "group", "ids_crc32", (F.col("k") * F.lit(length).cast("long")).alias("start"), F.least(F.lit(length).cast("long"), F.col("doc_tokens") - F.col("k") * F.lit(length)).alias("length")
+        "doc_id",
+        "doc_tokens",
+        "copies",
+        "group",
+        "ids_crc32",
+        (F.col("k") * F.lit(length).cast("long")).alias("start"),
+        F.least(F.lit(length).cast("long"), F.col("doc_tokens") - F.col("k") * F.lit(length)).alias("length"),
     )
     return pieces.groupBy("group").applyInPandas(_packed(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -93,19 +93,22 @@ def _per_lines(lines: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text", prefix: str = "_m_") -> DataFrame:
     """docs and two structs of counts of the whole text, {prefix}words and {prefix}lines, and plain counts
-    {prefix}word_chars, {prefix}n_symbols and {prefix}n_exclamations. A null text counts as empty."""
+    {prefix}word_chars, {prefix}n_symbols and {prefix}n_exclamations. A null text counts as empty.
+
+    The measures come out of a generator with one row, which the optimiser doesn't merge with what is done with them: a
+    filter on them would otherwise compute every measure again for each rule that names it.
+    """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     count = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
     with_word = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    return docs.withColumns(
-        {
-            prefix + "words": let(F.filter(F.split(t, _SPLIT), lambda w: w != ""), _per_words),
-            prefix + "lines": let(with_word, _per_lines),
-            prefix + "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
-            prefix + "n_symbols": count(SYMBOLS),
-            prefix + "n_exclamations": count("!"),
-        }
-    )
+    measures = {
+        "words": let(F.filter(F.split(t, _SPLIT), lambda w: w != ""), _per_words),
+        "lines": let(with_word, _per_lines),
+        "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
+        "n_symbols": count(SYMBOLS),
+        "n_exclamations": count("!"),
+    }
+    return docs.select("*", F.inline(F.array(F.struct(*[c.alias(prefix + x) for x, c in measures.items()]))))
 
 
 def _columns(prefix: str) -> dict[str, Column]:
@@ -144,8 +147,9 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row.
 
     base_failed: n_words < 20 or 100 * n_repeat_words > 30 * n_words, in whole numbers. kept: not base_failed and every
-    rule of the table holds. A null or empty text has no words and fails; repeated rows are judged each for itself; an
-    empty table gives an empty result; other columns are ignored whatever their names.
+    rule of the table holds. A null or empty text has no words and fails; a text of any length is judged whole, in linear
+    time but for the sort of its windows' hashes; repeated rows are judged each for itself; an empty table gives an empty
+    result; other columns are ignored whatever their names.
     """
     rows = measured(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
     c = _columns("_m_")
@@ -159,7 +163,11 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that quality() would keep."""
-    rows, c = measured(docs, text), _columns("_m_")
+    """The rows of docs, with all their columns, that quality() would keep, each judged for itself; null and empty texts go,
+    and an empty table gives an empty result."""
+    prefix = "_m_"
+    while any(x.startswith(prefix) for x in docs.columns):
+        prefix += "_"
+    rows, c = measured(docs, text, prefix), _columns(prefix)
     failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
     return rows.where(~failed & verdict(rules, c)).select(*[F.col(f"`{x}`") for x in docs.columns])

@@ -41,6 +41,13 @@ def test_quality_on_odd_texts(odd, nothing):
     assert quality_rules.quality(nothing).count() == 0
 
 
+def test_measures_are_computed_once(odd):
+    """However many rules name them, in the query and in the stage."""
+    for df in (quality_rules.quality(odd), quality_rules.keep_good(odd)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 2 and plan.count("array_distinct(") <= 2
+
+
 def test_quality_keeps_clean_and_rejects_junk(made):
     clean = "The river runs to the sea and it is wide. We go there with the children for the summer, as the days are long."
     junk = ["WORD!! " * 3 + " ".join(f"NOISE{k}!!" for k in range(60)), " ".join(f"w{k}###" for k in range(60)), " ".join(f"qzx{k}" for k in range(60))]
@@ -244,6 +251,17 @@ def test_shards_of_odd_texts(odd, nothing):
     assert sharding.shard(nothing, 4).count() == 0
 
 
+def test_slots_of_hot_keys_and_copies(made, monkeypatch):
+    """One key with many texts, keys with a common residue, and equal rows, some at a time."""
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [*[(5, f"text {k}") for k in range(200)], *[(None, "same")] * 50, *[(1024 * k, "x") for k in range(300)], (7, None), (7, None)]
+    out = sharding.shard(made(rows).repartition(3), 3).collect()
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((i, len((t or "").encode()) + 1) for i, t in rows)
+    for s in range(3):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert all((r.shard, r.grown_shard) == (_jump(-1 if r.doc_id is None else r.doc_id, 3), _jump(-1 if r.doc_id is None else r.doc_id, 4)) for r in out)
+
+
 def test_word_hashes_meet_on_equal_words_only():
     texts = ["one two", "Two three", "", "three"]
     import pyarrow as pa
