@@ -35,7 +35,7 @@ def test_edits_count_as_if_encoded_again(counter):
             a = draw.randint(0, len(doc.text))
             doc.edit(a, min(len(doc.text), a + draw.choice([0, 0, 1, 3, 30, 300])), "".join(draw.choices(some, k=draw.choice([0, 1, 2, 20]))))
             assert doc.tokens == _all(counter, doc.text)
-            assert sum(c for c, _ in token_counts.Tree.leaves(doc.tree)) == len(doc.text)
+            assert sum(len(x) for x, _ in token_counts.Tree.leaves(doc.tree)) == doc.tree[0] == len(doc.text)
 
 
 def test_edits_touch_little(counter):
@@ -46,6 +46,40 @@ def test_edits_touch_little(counter):
         doc.edit(5, 3, "")
 
 
+def test_edits_in_groups_are_edits_in_turn(counter):
+    draw = random.Random(8)
+    for _ in range(200):
+        text = "".join(draw.choices(["the ", "x", " ", "\n\n", "'re", "12", "é"], k=draw.choice([0, 3, 60, 900])))
+        doc, todo, at = token_counts.Document(counter, text), [], draw.randint(0, len(text))
+        for _ in range(draw.choice([1, 5, 40])):
+            start = min(len(text), max(0, at + draw.choice([-300, -40, -3, 0, 2, 30, 500])))
+            end, new = min(len(text), start + draw.choice([0, 1, 5, 50])), draw.choice(["", " ", "new", "a b c ", "\n"])
+            todo.append((start, end, new))
+            text, at = text[:start] + new + text[end:], start
+        doc.edits(todo)
+        assert doc.text == text and doc.tokens == _all(counter, text)
+
+
+def test_many_edits_of_a_long_text(counter):
+    """Cost follows the edits: 100,000 in one text, from the last to the first, and spread over it."""
+    import time
+
+    text = "Write to some.one@example.org or call, please. " * 100_000
+    places = [k * 47 + 9 for k in range(100_000)][::-1]
+    took = []
+    for n in (25_000, 100_000):
+        doc, began = token_counts.Document(counter, text), time.time()
+        doc.edits((a, a + 20, "[EMAIL]") for a in places[:n])
+        took.append(time.time() - began)
+    assert doc.tokens == _all(counter, text.replace("some.one@example.org", "[EMAIL]"))
+    assert took[1] < 12 * took[0] and took[1] < 120
+    draw = random.Random(9)
+    for _ in range(3000):
+        a = draw.randrange(len(text) - 100)
+        doc.edit(min(a, doc.tree[0]), min(a + 5, doc.tree[0]), "new ")
+    assert doc.tokens == _all(counter, doc.text)
+
+
 def test_token_counts_of_odd_texts(odd, nothing, counter):
     state = token_counts.count_tokens(odd, RANKS)
     assert sorted((r.n_tokens, sum(r.leaf_tokens), sum(r.leaf_chars)) for r in state.collect()) == sorted((n := _all(counter, r.text or ""), n, len(r.text or "")) for r in odd.collect())
