@@ -76,17 +76,19 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 def remap(spark: SparkSession, a: argparse.Namespace) -> None:
     pairs = edges.read_edges(spark, a.graph, strict=True)
     mapping = graph.dense(graph.vertices(pairs))
-    sinks.write_edges(graph.remapped(pairs, mapping), f"{a.output}/graph")
+    sinks.write_edges(graph.remapped(pairs, mapping), f"{a.output}/graph", edges.header_lines(spark, a.graph))
     if a.communities:
         lines = edges.numbered_lines(spark, a.communities)
         sinks.write_ground_truth(graph.remapped_communities(lines, mapping, "line_no"), f"{a.output}/communities")
 
 
 def report(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Folders that can't be read are logged and left out."""
+    """The metrics table, and beside it, as tables, the run times and the resource series of the runs. Folders that can't
+    be read are logged and left out."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a.runs)
     names = sorted(x.getPath().getName() for x in hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop) if x.isDirectory())
-    truth, rows = edges.read_ground_truth(spark, a.truth), None
+    truth, rows, times, series = edges.read_ground_truth(spark, a.truth), None, None, None
+    joined = lambda one, more: more if one is None else one.unionByName(more)
     for name in names:
         try:
             parts = spark.range(1).select(edges.parse_folder(F.lit(name)).alias("x")).select("x.*").first()
@@ -100,10 +102,15 @@ def report(spark: SparkSession, a: argparse.Namespace) -> None:
         minutes = tables["run"].select(reporting.minutes(F.col("start"), F.col("end")).alias("minutes"))
         use = reporting.run_statistics(samples.withColumn("run", F.lit(name)), ["run"]).select("mean_mem", "mean_cpu")
         row = summary.crossJoin(minutes).crossJoin(use).select(title.alias("test"), *[c for c in reporting.HEADINGS if c != "test"])  # one row each
-        rows = row if rows is None else rows.unionByName(row)
+        rows = joined(rows, row)
+        stamps = tables["run"].withColumns({"dataset": F.lit(parts["dataset"]), "sm": F.lit(parts["sm"])})
+        times = joined(times, reporting.run_times(stamps).withColumn("run", F.lit(name)))
+        series = joined(series, reporting.resource_series(samples.withColumns({"run": F.lit(name), "sm": F.lit(parts["sm"])}), ["run"], "sm"))
     if rows is None:
         raise SystemExit(f"no run in {a.runs}")
     sinks.write_lines(reporting.markdown_head(), reporting.markdown(rows), a.output)
+    times.write.mode("overwrite").parquet(f"{a.output}_run_times")
+    series.write.mode("overwrite").parquet(f"{a.output}_resources")
 
 
 def watch(a: argparse.Namespace, argv: list[str]) -> int:

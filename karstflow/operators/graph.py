@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from karstflow.functions.shared import stored
 
+#: Neighbours of a vertex that are paired with as many others in a task.
+BLOCK = 1000
+
 
 def canonical(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """u, v: the distinct edges with u > v. Self-loops go (their vertex stays, see vertices())."""
@@ -49,14 +52,16 @@ def stars(edges: DataFrame, deg: DataFrame) -> DataFrame:
 def wedges(edges: DataFrame) -> DataFrame:
     """mid, a, b, e_ma, e_mb, e_ab: two edges that meet in `mid`, a < b; e_ab is null if a and b aren't neighbours.
 
-    Each path of two edges comes once: the sum of k(k-1)/2 over vertices. The self-join is by `mid`; adaptive skew
-    handling splits hubs, as both sides are plain exchanges.
+    Each path of two edges comes once: the sum of k(k-1)/2 over vertices. A hub's neighbours are dealt to blocks of about
+    BLOCK, and each two blocks meet under a key of their own, so that no key has more than BLOCK * BLOCK paths.
     """
-    adj = both_ways(edges, "eid")
-    x = adj.select(F.col("src").alias("mid"), F.col("dst").alias("a"), F.col("eid").alias("e_ma"))
-    y = adj.select(F.col("src").alias("mid"), F.col("dst").alias("b"), F.col("eid").alias("e_mb"))
+    blocks = degrees(edges).select(F.col("id").alias("src"), F.ceil(F.col("k") / BLOCK).alias("n"))
+    adj = both_ways(edges, "eid").join(blocks, "src").withColumn("own", F.pmod(F.xxhash64("dst"), "n"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    x = adj.select(F.col("src").alias("mid"), F.col("dst").alias("a"), F.col("eid").alias("e_ma"), F.col("own").alias("i"), every.alias("j"))
+    y = adj.select(F.col("src").alias("mid"), F.col("dst").alias("b"), F.col("eid").alias("e_mb"), every.alias("i"), F.col("own").alias("j"))
     third = edges.select(F.col("v").alias("a"), F.col("u").alias("b"), F.col("eid").alias("e_ab"))
-    return x.join(y, "mid").where("a < b").join(third, ["a", "b"], "left").select("mid", "a", "b", "e_ma", "e_mb", "e_ab")
+    return x.join(y, ["mid", "i", "j"]).where("a < b").join(third, ["a", "b"], "left").select("mid", "a", "b", "e_ma", "e_mb", "e_ab")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -130,6 +135,12 @@ def replicas(edges: DataFrame, parts: int) -> DataFrame:
     return edges.select("u", "v", F.when(same, F.lit((parts - 1) * (parts - 2) // 2)).otherwise(F.lit(parts - 2)).cast("long").alias("copies"))
 
 
+def path_replicas(a: Column, b: Column, c: Column, parts: int) -> Column:
+    """The number of triples of classes that hold three vertices: the triples with their one class, with their two, or theirs."""
+    equal = equal_classes(*(hash_class(x, parts) for x in (a, b, c)))
+    return F.when(equal == 3, F.lit((parts - 1) * (parts - 2) // 2)).when(equal == 1, F.lit(parts - 2)).otherwise(F.lit(1)).cast("long")
+
+
 def components(edges: DataFrame, ids: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """id, component (the smallest id reachable) of every id of the edges (u, v), and of `ids`, alone if no edge names it.
 

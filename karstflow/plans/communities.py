@@ -54,7 +54,9 @@ class Parameters:
 
 @dataclass
 class Result:
-    """communities (id, comm), distances (u, v, d), degree (id, k), iterations (phase, step, active, total, seconds)."""
+    """communities (id, comm), distances (u, v, d), degree (id, k), iterations (phase, step, active, total, seconds, ts), run
+    (engine; time stamps: start, end, part_ts, when the first step began, and the ends of the steps of the distributed rule,
+    update_ts, and of the single-machine rule, sm_ts)."""
 
     communities: DataFrame
     distances: DataFrame
@@ -92,7 +94,9 @@ def detect(pairs: DataFrame, parameters: Parameters | None = None, a: str = "src
         found = graph.components(distances.where("d < 1").select("u", "v"), ids)
         communities = stored(graph.numbered_components(found), "communities")
     distances = distances.select("u", "v", "d")
-    return Result(communities, distances, degree, log, {"engine": engine, "start": began, "end": time.time()})
+    ends = {phase: [x["ts"] for x in log if x["phase"] == phase] for phase in ("distributed", "single")}
+    first = log[0]["ts"] - log[0]["seconds"] if log else None
+    return Result(communities, distances, degree, log, {"engine": engine, "start": began, "end": time.time(), "part_ts": first, "update_ts": ends["distributed"], "sm_ts": ends["single"]})
 
 
 def _iterated(edges: DataFrame, degree: DataFrame, p: Parameters, log: list[dict]) -> DataFrame:
@@ -103,7 +107,7 @@ def _iterated(edges: DataFrame, degree: DataFrame, p: Parameters, log: list[dict
     total, step, live = state.count(), 0, None
 
     def noted(phase: str, n: int, count: int, since: float) -> None:
-        log.append({"n": len(log), "phase": phase, "step": n, "active": count, "total": total, "seconds": time.time() - since})
+        log.append({"n": len(log), "phase": phase, "step": n, "active": count, "total": total, "seconds": time.time() - since, "ts": time.time()})
 
     while p.mode == "distributed" and (p.max_iter is None or step < p.max_iter):
         since = time.time()

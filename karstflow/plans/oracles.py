@@ -20,11 +20,15 @@ def rounded(x: str, digits: int = 10) -> str:
     return f"round({x}, {digits}) + 0.0"
 
 
-def _delta(k: int) -> str:
-    """Expressions up to x{k}(u, v, delta) of the state s{k}."""
+#: Steps that the SQL of whole runs makes, more than any of the given tables needs; a step without active edges changes nothing.
+STEPS = 40
+
+
+def _delta(k: int, counted: str = "true") -> str:
+    """Expressions up to x{k}(u, v, delta) of the state s{k}; weights are summed over counted edges."""
     live = lambda d: f"({d} > 0 and {d} < 1)"
-    return f""", a{k} as (select u as src, v as dst, d from s{k} union all select v, u, d from s{k}),
-  w{k} as (select src as id, sum(1 - d) as s from a{k} group by src),
+    return f""", a{k} as (select u as src, v as dst, d, {counted} as counted from s{k} union all select v, u, d, {counted} from s{k}),
+  w{k} as (select src as id, sum(case when counted then 1 - d else 0 end) as s from a{k} group by src),
   wedge{k} as (select x.src as mid, x.dst as a, y.dst as b, x.d as da, y.d as db, c.d as dc from a{k} x join a{k} y on x.src = y.src and x.dst < y.dst left join s{k} c on c.v = x.dst and c.u = y.dst),
   di{k} as (select u, v, -sin(1 - d) * (1.0 / ku + 1.0 / kv) as x from s{k} where {live("d")}),
   ci{k} as (select b as u, a as v, -sum((1 - db) * sin(1 - da) / ka.k + (1 - da) * sin(1 - db) / kb.k) as x from wedge{k} join deg ka on ka.id = a join deg kb on kb.id = b where {live("dc")} group by a, b),
@@ -36,22 +40,35 @@ def _delta(k: int) -> str:
   x{k} as (select u, v, sum(x) as delta from (select * from di{k} union all select * from ci{k} union all select * from ei{k}) group by u, v)"""
 
 
-def _step(k: int) -> str:
+def _step(k: int, window: int = SHORT, support: float = SUPPORT) -> str:
     """Expressions up to s{k+1} by the distributed rule."""
-    i = k % SHORT
+    i = k % window
     return (
         _delta(k)
         + f""", b{k} as (select s{k}.*, coalesce(delta, 0) as delta, d > 0 and d < 1 as live, case when coalesce(delta, 0) >= 0 then 1 else 0 end as bit from s{k} left join x{k} using (u, v)),
   r{k} as (select *, case when live then ({'win' if k else '0::bigint'} & ~(1::bigint << {i})) | (bit::bigint << {i}) else 0 end as ring from b{k}),
-  f{k} as (select *, case when live and {k} >= {SHORT - 1} and bit_count(ring) > {SUPPORT * SHORT} then case when bit = 1 then 2 else -2 end else delta end as move from r{k}),
+  f{k} as (select *, case when live and {k} >= {window - 1} and bit_count(ring) > {support * window} then case when bit = 1 then 2 else -2 end else delta end as move from r{k}),
   s{k + 1} as (select u, v, ku, kv, greatest(0.0, least(1.0, d + move)) as d, ring as win from f{k})"""
     )
 
 
-def _components(threshold: float, name: str) -> str:
+def _single(k: int) -> str:
+    """Expressions up to s{k+1} by the single-machine rule, whose full ring always forces."""
+    ring = f"(win & ~(1::bigint << (cnt % {SHORT}))) | (bit::bigint << (cnt % {SHORT}))"
+    return (
+        _delta(k, "in_s")
+        + f""", y{k} as (select s{k}.*, d > 0 and d < 1 as live, coalesce(delta, 0) as delta from s{k} left join x{k} using (u, v)),
+  z{k} as (select *, live and abs(delta) > 1e-7 as moves, case when delta >= 0 then 1 else 0 end as bit from y{k}),
+  f{k} as (select *, d + case when cnt >= {SHORT - 1} then case when bit = 1 then 2 else -2 end else delta end as new from z{k}),
+  s{k + 1} as (select u, v, ku, kv, case when moves then case when new > 1 - 1e-7 then 1.0 when new < 1e-7 then 0.0 else new end when live then d_prev else d end as d, d as d_prev,
+    moves or not live as in_s, moves as moved, case when moves then {ring} else win end as win, cnt + moves::bigint as cnt from f{k})"""
+    )
+
+
+def _components(threshold: float, name: str, state: str = "s0", ids: str = "deg") -> str:
     """Expressions up to {name}(id, comm), after JACCARD; needs `with recursive`."""
-    return f""", {name}_n as (select u as a, v as b from s0 where d < {threshold} union all select v, u from s0 where d < {threshold}),
-  {name}_r(id, r) as (select id, id from deg union select {name}_r.id, {name}_n.b from {name}_r join {name}_n on {name}_n.a = {name}_r.r),
+    return f""", {name}_n as (select u as a, v as b from {state} where d < {threshold} union all select v, u from {state} where d < {threshold}),
+  {name}_r(id, r) as (select id, id from {ids} union select {name}_r.id, {name}_n.b from {name}_r join {name}_n on {name}_n.a = {name}_r.r),
   {name}_c as (select id, min(r) as c from {name}_r group by id),
   {name} as (select id, dense_rank() over (order by c) as comm from {name}_c)"""
 
@@ -73,6 +90,8 @@ ACCURACY = "select count(*) as total, count(*) filter (exact) as exact_correct,
 
 def sql() -> dict[str, str]:
     parts = JACCARD + _components(THRESHOLD, "c")
+    whole = JACCARD + "".join(_step(k, 15, 0.7) for k in range(STEPS)) + ", every as (select distinct src as id from p)" + _components(1.0, "r", f"s{STEPS}", "every")
+    single = JACCARD.replace("s0 as (", "j0 as (") + ", s0 as (select *, 0.0::double as d_prev, true as in_s, true as moved, 0::bigint as cnt from j0)"
     finer = parts + _components(0.62, "f") + ", truth as (select comm as comm_id, id as node from f)"
     entropy = lambda t: f"(select -sum(n / total * ln(n / total)) from {t}, (select sum(n) as total from cell))"
     mutual = "(select sum(cell.n / total * ln(cell.n * total / (rows_.n * cols.n))) from cell join rows_ using (label) join cols using (comm), (select sum(n) as total from cell))"
@@ -110,6 +129,10 @@ def sql() -> dict[str, str]:
   t as (select u, v, list_sort([x.i, y.i, hu]) as t from h, r x, r y where hu = hv and x.i < y.i and x.i <> hu and y.i <> hu union all select u, v, list_sort([x.i, hu, hv]) from h, r x where hu <> hv and x.i <> hu and x.i <> hv)
   select distinct id, t[1] as i, t[2] as j, t[3] as k from (select u as id, t from t union all select v, t from t)""",
         "replica_normaliser": f"with {EDGES} select u, v, (case when u % 8 = v % 8 then 21 else 6 end)::bigint as copies from e",
+        "replica_normaliser_common": f"""with {EDGES}, t as (select x.v as x, x.u as y, y.u as z from e x join e y on x.u = y.v join e z on z.u = y.u and z.v = x.v)
+  select x, y, z, (case (x % 5 = y % 5)::int + (x % 5 = z % 5)::int + (y % 5 = z % 5)::int when 3 then 6 when 1 then 3 else 1 end)::bigint as copies from t""",
+        "replica_normaliser_exclusive": f"""with {DEGREE}, t as (select x.src as mid, x.dst as a, y.dst as b from ends x join ends y on x.src = y.src and x.dst < y.dst left join e on e.v = x.dst and e.u = y.dst where e.u is null)
+  select mid, a, b, (case (mid % 5 = a % 5)::int + (mid % 5 = b % 5)::int + (a % 5 = b % 5)::int when 3 then 6 when 1 then 3 else 1 end)::bigint as copies from t""",
         "window_bit": f"with {GRID} select bits, bit, step, {RING} as ring, reverse(lpad(bin({RING}), {SHORT}, '0')) as text, {RING} as again from g",
         "window_rule_table": f"""with {GRID}, r as (select *, bit_count({RING}) as ones from g) select bits, bit, step, {rule(f'ones > {SUPPORT * SHORT}')} as compat,
   {rule(f'(case when bit = 1 then ones else {SHORT} - ones end) > {SUPPORT * SHORT}')} as symmetric, {rule('true')} as single from r""",
@@ -118,6 +141,9 @@ def sql() -> dict[str, str]:
         "update_single_step1": f"""with {JACCARD}{_delta(0)}, y as (select u, v, d, d > 0 and d < 1 as live, coalesce(delta, 0) as delta from s0 left join x0 using (u, v)), z as (select *, live and abs(delta) > 1e-7 as moved from y)
   select u, v, {rounded("case when moved then case when d + delta > 1 - 1e-7 then 1.0 when d + delta < 1e-7 then 0.0 else d + delta end when live then 0.0 else d end")} as d, moved or not live as in_s, moved,
   (case when moved and delta >= 0 then 1 else 0 end)::bigint as win, (case when moved then 1 else 0 end)::bigint as cnt from z""",
+        "update_single_step2": f"with {single}{_single(0)}{_single(1)} select u, v, {rounded('d')} as d, in_s, moved, win, cnt from s2",
+        "full_run": f"with recursive {whole} select id, comm from r",
+        "full_run_plan": f"with recursive {whole} select id, comm from r",
         "active_count": f"with {JACCARD}{_step(0)} select count(*) as total, count(*) filter (d > 0 and d < 1) as active from s1",
         "communities_threshold": f"with recursive {parts} select id, comm from c",
         "community_nodes": f"with recursive {parts} select comm, string_agg(id::varchar, ' ' order by id) as nodes from c group by comm",

@@ -171,6 +171,17 @@ def replica_normaliser(spark, sf_dir):
     return graph.replicas(copart(spark, sf_dir), 8)
 
 
+def replica_normaliser_common(spark, sf_dir):
+    """Of each triangle."""
+    return graph.triangles(copart(spark, sf_dir)).select("x", "y", "z", graph.path_replicas(F.col("x"), F.col("y"), F.col("z"), 5).alias("copies"))
+
+
+def replica_normaliser_exclusive(spark, sf_dir):
+    """Of each open path of two edges."""
+    found = graph.wedges(graph.identified(copart(spark, sf_dir))).where("e_ab is null")
+    return found.select("mid", "a", "b", graph.path_replicas(F.col("mid"), F.col("a"), F.col("b"), 5).alias("copies"))
+
+
 def _grid(spark: SparkSession) -> DataFrame:
     """bits 0..7, bit 0/1, step 0..4."""
     return spark.range(80).select((F.col("id") % 8).alias("bits"), (F.floor(F.col("id") / 8) % 2).cast("int").alias("bit"), F.floor(F.col("id") / 16).cast("int").alias("step"))
@@ -215,6 +226,15 @@ def update_single_step1(spark, sf_dir):
     return done.select("u", "v", rounded(F.col("d")).alias("d"), "in_s", "moved", "win", "cnt")
 
 
+def update_single_step2(spark, sf_dir):
+    """The second step has weight sums without the edges that the first left where they were."""
+    state = update.handed_over(_initial(spark, sf_dir), 0)
+    arms = stored(graph.wedges(state.select("eid", "u", "v")), "wedges")
+    for _ in range(2):
+        state = stored(update.step_single(state, interactions.deltas(state, arms, LAMBDA, F.col("in_s")), SHORT), "state")
+    return state.select("u", "v", rounded(F.col("d")).alias("d"), "in_s", "moved", "win", "cnt")
+
+
 def _parts(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
     """id, comm: components of the edges below a distance, numbered by their smallest vertex; all vertices."""
     edges = stored(graph.jaccard(copart(spark, sf_dir)), "jaccard")
@@ -382,6 +402,11 @@ def full_run(spark, sf_dir):
     return _run(spark, sf_dir)
 
 
+def full_run_plan(spark, sf_dir):
+    """The same by step plans, until no edge is active."""
+    return _run(spark, sf_dir, engine="plan")
+
+
 def full_run_gamma(spark, sf_dir):
     return _run(spark, sf_dir, gamma=100)
 
@@ -396,7 +421,7 @@ def iteration_log(spark, sf_dir):
 
 
 ALL = (
-    edges_canonical, edge_dedupe, vertices, degree, bidirectional, star_graphs, triangles, wedges, jaccard_init, vertex_weight_sum, di, ci, theta, rho, ei, delta, hash_class, equal_classes, distance_lookup, weight_lookup, triples_per_vertex, replica_normaliser, window_bit,
-    window_rule_table, update_step1, update_step3, update_single_step1, active_count, communities_threshold, community_nodes, remap_ids, remap_communities, graph_size, truth_matches, accuracy, purity, nmi, ari, avg_degree, n_communities, quality_summary,
-    moving_average, run_stats, resource_series, iteration_seconds, run_times, metrics_table, folder_parse, edge_list_parse, ground_truth_parse, full_run, full_run_gamma, full_run_single, iteration_log,
+    edges_canonical, edge_dedupe, vertices, degree, bidirectional, star_graphs, triangles, wedges, jaccard_init, vertex_weight_sum, di, ci, theta, rho, ei, delta, hash_class, equal_classes, distance_lookup, weight_lookup, triples_per_vertex, replica_normaliser, replica_normaliser_common, replica_normaliser_exclusive, window_bit,
+    window_rule_table, update_step1, update_step3, update_single_step1, update_single_step2, active_count, communities_threshold, community_nodes, remap_ids, remap_communities, graph_size, truth_matches, accuracy, purity, nmi, ari, avg_degree, n_communities, quality_summary,
+    moving_average, run_stats, resource_series, iteration_seconds, run_times, metrics_table, folder_parse, edge_list_parse, ground_truth_parse, full_run, full_run_plan, full_run_gamma, full_run_single, iteration_log,
 )

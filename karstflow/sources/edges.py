@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,8 +29,13 @@ def parse_edges(lines: DataFrame, line: str = "value", strict: bool = False, num
 
 
 def read_edges(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """src, dst of a text file (or a folder of them) in the form of parse_edges()."""
-    return parse_edges(spark.read.text(path), strict=strict)
+    """src, dst of a text file (or a folder of them) in the form of parse_edges(). Errors name the number of the line."""
+    return parse_edges(numbered_lines(spark, path), strict=strict, number="line_no")
+
+
+def header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no, value of the lines of text files that begin with #."""
+    return numbered_lines(spark, path).where(F.ltrim("value").startswith("#"))
 
 
 def parse_ground_truth(lines: DataFrame, number: str, line: str = "value") -> DataFrame:
@@ -43,8 +48,16 @@ def parse_ground_truth(lines: DataFrame, number: str, line: str = "value") -> Da
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, value of text files. Numbers ascend within and across files; they aren't dense."""
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """line_no, value of text files: 1, 2, ... through the files, by path.
+
+    Each part of a file that a task reads at once is numbered by itself; the parts' counts, a row each, give the offsets.
+    """
+    at = F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")
+    lines = spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("_id"))
+    parts = lines.groupBy("_f", "_b").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    parts = parts.select("_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_o"))
+    return lines.join(F.broadcast(parts), ["_f", "_b"]).select((F.col("_o") + F.col("_id")).alias("line_no"), "value")
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:

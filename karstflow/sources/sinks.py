@@ -17,9 +17,10 @@ def write_details(result, path: str) -> None:
     spark = result.communities.sparkSession
     result.communities.write.mode("overwrite").parquet(f"{path}/communities.parquet")
     result.degree.write.mode("overwrite").parquet(f"{path}/degree.parquet")
-    steps = "n int, phase string, step int, active long, total long, seconds double"
-    spark.createDataFrame([tuple(x.get(k) for k in ("n", "phase", "step", "active", "total", "seconds")) for x in result.iterations], steps).write.mode("overwrite").parquet(f"{path}/iterations.parquet")
-    spark.createDataFrame([(result.run["engine"], result.run["start"], result.run["end"])], "engine string, start double, end double").write.mode("overwrite").parquet(f"{path}/run.parquet")
+    steps = "n int, phase string, step int, active long, total long, seconds double, ts double"
+    spark.createDataFrame([tuple(x.get(k) for k in ("n", "phase", "step", "active", "total", "seconds", "ts")) for x in result.iterations], steps).write.mode("overwrite").parquet(f"{path}/iterations.parquet")
+    stamps = "engine string, start double, end double, part_ts double, update_ts array<double>, sm_ts array<double>"
+    spark.createDataFrame([tuple(result.run[k] for k in ("engine", "start", "end", "part_ts", "update_ts", "sm_ts"))], stamps).write.mode("overwrite").parquet(f"{path}/run.parquet")
 
 
 def write_samples(samples, spark, path: str) -> None:
@@ -27,11 +28,15 @@ def write_samples(samples, spark, path: str) -> None:
     spark.createDataFrame(samples, "ts double, main_mem long, main_cpu double, java_mem long, java_cpu double, workers_mem long, workers_cpu double").write.mode("overwrite").parquet(path)
 
 
-def write_edges(edges: DataFrame, path: str) -> None:
-    """Tab-separated src, dst lines, below a comment line in each file."""
+def write_edges(edges: DataFrame, path: str, headers: DataFrame | None = None) -> None:
+    """Tab-separated src, dst lines, below a comment line in each file. headers (line_no, value): comment lines that stand
+    above all others, in a file of their own that comes first."""
     line = F.concat_ws("\t", "src", "dst")
     first = F.monotonically_increasing_id() % (1 << 33) == 0  # of a partition
-    edges.select(F.when(first, F.concat(F.lit("# FromNodeId\tToNodeId\n"), line)).otherwise(line).alias("value")).write.mode("overwrite").text(path)
+    rows = edges.select(F.when(first, F.concat(F.lit("# FromNodeId\tToNodeId\n"), line)).otherwise(line).alias("value"))
+    if headers is not None:
+        rows = headers.coalesce(1).sortWithinPartitions("line_no").select("value").union(rows)
+    rows.write.mode("overwrite").text(path)
 
 
 def write_ground_truth(communities: DataFrame, path: str) -> None:

@@ -112,6 +112,15 @@ def test_copies_loops_and_numbering_do_not_matter(spark):
     assert all((one[a] == one[b]) == (moved[100 - a] == moved[100 - b]) for a in one for b in one)
 
 
+def test_hubs_are_paired_in_blocks(spark, monkeypatch):
+    pairs = [(1000, k) for k in range(60)] + [(k, k + 1) for k in range(0, 58, 3)] + [(2000, k) for k in range(20, 45)]
+    edges = graph.identified(graph.canonical(_pairs(spark, pairs)))
+    rows = lambda: sorted((r.mid, r.a, r.b, r.e_ma, r.e_mb, r.e_ab) for r in graph.wedges(edges).collect())
+    want = rows()
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    assert rows() == want and len(want) == sum(r.k * (r.k - 1) // 2 for r in graph.degrees(edges).collect())
+
+
 def test_empty_graph(spark):
     for engine in ("plan", "task"):
         found = detect(_pairs(spark, []), Parameters(engine=engine, max_iter=3))

@@ -9,7 +9,7 @@ class _Stop(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["full_run", "full_run_gamma", "full_run_single", "iteration_log"])
+@pytest.mark.parametrize("name", ["full_run", "full_run_plan", "full_run_gamma", "full_run_single", "iteration_log"])
 def test_no_bound_on_steps(monkeypatch, name):
     def detect(pairs, parameters):
         assert parameters.max_iter is None

@@ -31,6 +31,22 @@ def test_bad_lines_name_their_number(spark, lines, strict):
         edges.parse_edges(_lines(spark, lines), strict=strict, number="no").collect()
 
 
+def test_lines_are_numbered_through_the_files(spark, tmp_path):
+    """In tasks that read parts of several files."""
+    for name, n in (("a", 700), ("b", 3), ("c", 400)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} {k}\n" for k in range(n)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    found = [r.value for r in edges.numbered_lines(spark, str(tmp_path)).orderBy("line_no").collect()]
+    numbers = sorted(r.line_no for r in edges.numbered_lines(spark, str(tmp_path)).collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert found == [f"{name} {k}" for name, n in (("a", 700), ("b", 3), ("c", 400)) for k in range(n)]
+    assert numbers == list(range(1, 1104))
+    (tmp_path / "bad.txt").write_text("1 2\n\n3 4\nfour 5\n")
+    with pytest.raises(Exception, match="in line 4: four 5"):
+        edges.read_edges(spark, str(tmp_path / "bad.txt")).collect()
+
+
 def test_ground_truth_last_line_wins(spark):
     found = edges.parse_ground_truth(_lines(spark, ["1 5 6", "2 7", "3", "1 8 8"]), "no").collect()
     assert sorted((r.comm_id, r.node) for r in found) == [(1, 8), (2, 7)]
@@ -38,12 +54,14 @@ def test_ground_truth_last_line_wins(spark):
 
 def test_files_and_commands(spark, tmp_path):
     path = tmp_path / "g.txt"
-    path.write_text("# test\n10 20\n20 30\n30 10\n40 50\n50 60\n60 40\n30 40\n")
+    path.write_text("# test\n# more\n10 20\n20 30\n30 10\n40 50\n50 60\n60 40\n30 40\n")
     truth = tmp_path / "t.txt"
     truth.write_text("10 20 30\n40 50 60\n")
     a = cli.parser().parse_args(["remap", str(path), str(tmp_path / "r"), str(truth)])
     cli.remap(spark, a)
     assert sorted(tuple(r) for r in edges.read_edges(spark, str(tmp_path / "r/graph")).collect()) == [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4)]
+    heads = [r.value for r in edges.header_lines(spark, str(tmp_path / "r/graph")).orderBy("line_no").collect()]
+    assert heads[:2] == ["# test", "# more"] and set(heads[2:]) == {"# FromNodeId\tToNodeId"}
     found = edges.read_ground_truth(spark, str(tmp_path / "r/communities")).collect()
     assert sorted((r.comm_id, r.node) for r in found) == [(1, 1), (1, 2), (1, 3), (2, 4), (2, 5), (2, 6)]
     runs = tmp_path / "runs"
@@ -61,6 +79,9 @@ def test_files_and_commands(spark, tmp_path):
     (runs / "not_a_run").mkdir()
     cli.report(spark, cli.parser().parse_args(["report", str(runs), str(tmp_path / "r/communities"), str(tmp_path / "m")]))
     lines = [r.value for r in spark.read.text(str(tmp_path / "m")).collect()]
+    times = spark.read.parquet(str(tmp_path / "m_run_times")).first()
+    assert times.dataset == "toy" and times.mode == "distributed" and 0 < times.first_minutes <= times.total_minutes < 5
+    assert spark.read.parquet(str(tmp_path / "m_resources")).count() == 116
     assert lines[0].startswith("| Test |") and lines[2].startswith("| Toy, MR gamma=0 l=0.5, p=8 | 0 | 1.0 | 5.0 |") and len(lines) == 3
 
 
