@@ -23,7 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there, and a lost executor loses nothing."""
+    """df written to the shared folder and read back: lineage ends there, and a lost executor loses nothing. The files go
+    when the application ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
     df.write.option("compression", "zstd").parquet(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
