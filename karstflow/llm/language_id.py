@@ -103,8 +103,9 @@ def scores(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
 def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """For each row of docs the columns in `keep`, lang_pred and score (0 to 1).
 
-    A null text, or one without a letter, has `und` and 0. Repeated rows are scored each for itself; an empty table gives
-    an empty result; columns of docs that aren't in `keep` are ignored.
+    A null text, or one without a letter, has `und` and 0. Of languages with one probability (a tie) the first by name
+    wins. A text of any length is scored whole. Repeated rows are scored each for itself; an empty table gives an empty
+    result; columns of docs that aren't in `keep` are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{text}`").alias("_text"), *[c.alias(name) for name, c in keep.items()])

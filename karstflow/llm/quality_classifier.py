@@ -72,7 +72,8 @@ def _featured(batches):
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """A model from about `sample` labelled documents of each of the labels 0 and 1. The labels must be one a document;
-    of several the largest counts. Null labels and labels without a document don't count."""
+    of several the largest counts. Null labels and labels without a document don't count; null and empty texts have no
+    terms. Without any labelled document every score is 0.5. Document frequencies are those of the chosen documents."""
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("good")).where("good in (0, 1)")
     marks = marks.groupBy("key").agg(F.max("good").alias("good"))
     total = {r["good"]: r["count"] for r in marks.groupBy("good").count().collect()}
@@ -119,7 +120,8 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text: str =
     """For each row of docs the columns in `keep`, score (0 to 1, higher: label 1 likelier) and predicted (score >= 0.5).
 
     Texts that are null, empty or too short for a trigram get the share of label 1 among all labels. Repeated rows are
-    scored each for itself; an empty table gives an empty result; columns that aren't in `keep` are ignored.
+    scored each for itself; a text of any length is scored whole; an empty table gives an empty result; columns that aren't
+    in `keep` are ignored. Where several neighbours are equally near at the last place (a tie), any of them votes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{text}`").alias("_text"), *[c.alias(name) for name, c in keep.items()])
