@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
 Texts are hashed character trigrams (half of the buckets) and trigrams of character kinds (the other half), weighted by
-log(1 + count) and inverse document frequency, the first half less (PLAIN), as kinds tell quality in any language. A
-truncated singular value decomposition of a bounded labelled sample gives RANK directions; the sample's unit vectors
+log(1 + count) and inverse document frequency among all documents, labelled or not, the first half less (PLAIN), as kinds
+tell quality in any language. A truncated singular value decomposition of a bounded labelled sample gives RANK directions; the sample's unit vectors
 (SAMPLE of each label, about: 1 MiB in all) are broadcast with them.
 Each document's cosine with every labelled vector is computed exactly, a block of documents at a time, and the NEAREST
 ones vote with a power of their similarity. Votes are weighted so that the sampling of labels doesn't shift the score.
@@ -70,10 +70,31 @@ def _featured(batches):
                 )
 
 
+@lean
+def _present(batches):
+    """Of all texts of a task: in how many each bucket is, and at bucket -1 how many there are."""
+    n, total = np.zeros(BUCKETS, np.int64), 0
+    for batch in batches:
+        total += batch.num_rows
+        for _, counts in _portions(batch.column(0)):
+            n += np.count_nonzero(counts, axis=0)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(n[at], total))], names=["bucket", "n"])
+
+
+def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """log((1 + documents) / (1 + those with the bucket)) + 1 for each bucket, over all rows of docs. Null and empty texts
+    are documents without terms. Tasks send their sums, a row a bucket; BUCKETS + 1 rows come to the driver."""
+    sums = docs.select(F.col(f"`{text}`")).mapInArrow(_present, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = {r["bucket"]: r["n"] for r in sums.collect()}
+    n = np.array([found.get(k, 0) for k in range(BUCKETS)], np.float64)
+    return (np.log((1 + found.get(-1, 0)) / (1 + n)) + 1).astype(np.float32)
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """A model from about `sample` labelled documents of each of the labels 0 and 1. The labels must be one a document;
     of several the largest counts. Null labels and labels without a document don't count; null and empty texts have no
-    terms. Without any labelled document every score is 0.5. Document frequencies are those of the chosen documents."""
+    terms. Without any labelled document every score is 0.5. Document frequencies are those of all rows of docs."""
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("good")).where("good in (0, 1)")
     marks = marks.groupBy("key").agg(F.max("good").alias("good"))
     total = {r["good"]: r["count"] for r in marks.groupBy("good").count().collect()}
@@ -88,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for k, r in enumerate(found):
         x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
     good = np.array([r["good"] for r in found], np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    idf = inverse_frequencies(docs, text)
     idf[: 1 << BITS] *= np.float32(PLAIN)
     x = _unit(np.log1p(x) * idf)
     # truncated singular value decomposition by subspace iteration

@@ -230,6 +230,19 @@ def test_quality_votes_are_exact():
         assert score == pytest.approx(float((vote * model.good[top]).sum() / vote.sum()), abs=1e-4)
 
 
+def test_document_frequencies_cover_all_documents(odd, nothing):
+    idf = quality_classifier.inverse_frequencies(odd)
+    texts = [r.text for r in odd.select("text").collect()]
+    n = np.zeros(quality_classifier.BUCKETS)
+    for text in texts:
+        for _, counts in quality_classifier._portions(pa.array([text], pa.string())):
+            n += counts[0] > 0
+    assert n.any()
+    np.testing.assert_allclose(idf, np.log((1 + len(texts)) / (1 + n)) + 1, rtol=1e-6)
+    np.testing.assert_allclose(quality_classifier.inverse_frequencies(odd.repartition(7)), idf)
+    assert set(quality_classifier.inverse_frequencies(nothing)) == {1}
+
+
 def test_quality_of_odd_texts(odd, nothing, spark):
     labels = spark.createDataFrame([(7, 1), (8, 1), (18, 0), (19, 0), (19, None), (99, 1), (None, 1)], "doc_id long, quality int")
     model = quality_classifier.train(odd, labels)
