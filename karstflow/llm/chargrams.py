@@ -61,15 +61,18 @@ def grams(points: np.ndarray, rows: np.ndarray, n: int, bits: int, salt: int) ->
     return (mixed(key[inside]) >> np.uint64(64 - bits)).astype(np.int64), rows[:size][inside]
 
 
-def sampled(rows: DataFrame, label: str, key: Column, most: int) -> DataFrame:
-    """About `most` rows of each label (all, if there are fewer), by a hash of the key: no sort, and no task holds a label.
-
-    The labels' counts come to the driver; more than 256 labels are an error, so that these are a bounded number.
-    """
+def counted(rows: DataFrame, label: str) -> dict:
+    """The number of rows of each label; more than 256 labels are an error, so that these are a bounded number."""
     counts = rows.groupBy(label).count().limit(257).collect()
     if len(counts) > 256:
         raise ValueError("more than 256 labels")
+    return {r[label]: r["count"] for r in counts}
+
+
+def sampled(rows: DataFrame, label: str, key: Column, most: int, counts: dict | None = None) -> DataFrame:
+    """About `most` rows of each label (all, if there are fewer), by a hash of the key: no sort, and no task holds a label.
+    counts: what counted() gave for rows, if that is known."""
     share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col(label) == F.lit(r[label]), F.lit(min(1 << 20, -(-most * (1 << 20) // r["count"])))).otherwise(share)
+    for own, n in (counted(rows, label) if counts is None else counts).items():
+        share = F.when(F.col(label) == F.lit(own), F.lit(min(1 << 20, -(-most * (1 << 20) // n)))).otherwise(share)
     return rows.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 20)) < share)

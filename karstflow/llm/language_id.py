@@ -64,8 +64,8 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", key: str
     count. Without any, the model knows no language."""
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{language}`").cast("string").alias("language"), F.col(f"`{key}`").alias("key"))
     rows = rows.where("text is not null and language is not null")
-    counts = {r["language"]: r["count"] for r in rows.groupBy("language").count().limit(257).collect()}
-    chosen = chargrams.sampled(rows, "language", F.col("key"), sample).select("text", "language")
+    counts = chargrams.counted(rows, "language")
+    chosen = chargrams.sampled(rows, "language", F.col("key"), sample, counts).select("text", "language")
     totals: dict[str, np.ndarray] = {}
     for name, n in chosen.repartition(8).mapInArrow(_counted, "language string, n binary").toLocalIterator():
         totals[name] = totals.get(name, 0) + np.frombuffer(zlib.decompress(n), np.int64)
