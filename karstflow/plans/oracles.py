@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from karstflow.plans.queries import LAMBDA, SHORT, SUPPORT, THRESHOLD
+from karstflow.plans.queries import FINER, LAMBDA, SHORT, SUPPORT, THRESHOLD
 
-PAIRS = """p as (select a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b using (l_orderkey)
-  where a.l_returnflag = 'R' and a.l_linestatus = 'F' and b.l_returnflag = 'R' and b.l_linestatus = 'F')"""
+PAIRS = """bought as (select o_custkey as cust, l_partkey as part, l_suppkey as supp from lineitem join orders on o_orderkey = l_orderkey),
+  p as (select a.cust as src, b.cust as dst from bought a join bought b using (part, supp))"""
 EDGES = PAIRS + ", e as (select distinct src as u, dst as v from p where src > dst)"
 DEGREE = EDGES + ", ends as (select u as src, v as dst from e union all select v, u from e), deg as (select src as id, count(*) as k from ends group by src)"
 JACCARD = (
@@ -78,7 +78,7 @@ RING = f"(bits & ~(1::bigint << (step % {SHORT}))) | (bit::bigint << (step % {SH
 SAMPLES = """m as (select event_type as run, epoch(date_trunc('second', ts)) + event_id / 1000000.0 as ts, event_id % 2 = 0 as single,
   (event_id * 7 % 1000 * 1048576)::bigint as main_mem, (event_id * 7 % 101)::double as main_cpu, (event_id * 11 % 1000 * 1048576)::bigint as java_mem, (event_id * 11 % 101)::double as java_cpu,
   (event_id * 13 % 1000 * 1048576)::bigint as workers_mem, (event_id * 13 % 101)::double as workers_cpu from events)"""
-BRANDS = "truth as (select regexp_extract(p_brand, '([0-9]+)', 1)::bigint as comm_id, p_partkey as node from part)"
+NATIONS = "truth as (select c_nationkey::bigint as comm_id, c_custkey as node from customer)"
 TABLE = "cell as (select comm_id as label, comm, count(*)::double as n from truth join c on c.id = truth.node group by 1, 2), rows_ as (select label, sum(n) as n from cell group by 1), cols as (select comm, sum(n) as n from cell group by 1)"
 MATCHES = """sizes as (select comm, count(*) as size from c group by comm),
   one as (select comm_id, count(*) as n, count(c.comm) as known, min(c.comm) as comm, max(c.comm) as other from truth left join c on c.id = truth.node group by comm_id),
@@ -92,7 +92,7 @@ def sql() -> dict[str, str]:
     parts = JACCARD + _components(THRESHOLD, "c")
     whole = JACCARD + "".join(_step(k, 15, 0.7) for k in range(STEPS)) + ", every as (select distinct src as id from p)" + _components(1.0, "r", f"s{STEPS}", "every")
     single = JACCARD.replace("s0 as (", "j0 as (") + ", s0 as (select *, 0.0::double as d_prev, true as in_s, true as moved, 0::bigint as cnt from j0)"
-    finer = parts + _components(0.62, "f") + ", truth as (select comm as comm_id, id as node from f)"
+    finer = parts + _components(FINER, "f") + ", truth as (select comm as comm_id, id as node from f)"
     entropy = lambda t: f"(select -sum(n / total * ln(n / total)) from {t}, (select sum(n) as total from cell))"
     mutual = "(select sum(cell.n / total * ln(cell.n * total / (rows_.n * cols.n))) from cell join rows_ using (label) join cols using (comm), (select sum(n) as total from cell))"
     choose = lambda t: f"(select sum(n * (n - 1) / 2) from {t})"
@@ -153,8 +153,8 @@ def sql() -> dict[str, str]:
         "graph_size": f"with {DEGREE} select (select count(*) from deg) as n_vertices, (select count(*) from e) as n_edges, (select max(id) from deg) as max_id",
         "truth_matches": f"with recursive {finer}, {MATCHES} select * from found",
         "accuracy": f"with recursive {finer}, {MATCHES} {ACCURACY}",
-        "purity": f"with recursive {parts}, {BRANDS}, {TABLE} select {rounded('(select sum(n) from (select max(n) as n from cell group by comm)) / (select count(distinct node) from truth)')} as purity",
-        "nmi": f"with recursive {parts}, {BRANDS}, {TABLE} select {rounded(nmi)} as nmi",
+        "purity": f"with recursive {parts}, {NATIONS}, {TABLE} select {rounded('(select sum(n) from (select max(n) as n from cell group by comm)) / (select count(distinct node) from truth)')} as purity",
+        "nmi": f"with recursive {parts}, {NATIONS}, {TABLE} select {rounded(nmi)} as nmi",
         "ari": f"with recursive {finer}, {TABLE} select {rounded(ari)} as ari",
         "avg_degree": f"with {DEGREE} select {rounded('avg(k)')} as avg_degree from deg",
         "n_communities": f"with recursive {parts} select count(distinct comm) as n_communities from c",
